@@ -34,4 +34,4 @@ def missing_pages(rows: DataFrame, images: DataFrame) -> DataFrame:
 def gaps(rows: DataFrame) -> DataFrame:
     """Page numbers missing below each file's last one."""
     top = rows.groupBy("file").agg(F.max("page_no").alias("top"))
-    return top.select("file", F.explode(F.sequence(F.lit(1), F.col("top"))).cast("int").alias("page_no")).join(rows, ["file", "page_no"], "left_anti")
+    return top.select("file", F.explode(F.sequence(F.lit(1), F.col("top").cast("int"))).alias("page_no")).join(rows, ["file", "page_no"], "left_anti")
