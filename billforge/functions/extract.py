@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..schema import NO_PLATE, REVIEW
 from . import text as T
@@ -134,7 +135,7 @@ def words_to_number(folded: str | None) -> int | None:
     return total + block if seen else None
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def number_words(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in it:
         yield s.map(words_to_number).astype("Int64")

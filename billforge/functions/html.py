@@ -8,6 +8,9 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+_LINK = StructType([StructField(n, StringType()) for n in ("href", "text", "before")])
 
 
 class _Anchors(HTMLParser):
@@ -44,13 +47,13 @@ def _parse(html: str | None) -> _Anchors:
     return p
 
 
-@F.pandas_udf("array<struct<href:string,text:string,before:string>>")
+@F.pandas_udf(ArrayType(_LINK))
 def anchors(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in it:
         yield s.map(lambda h: _parse(h).links)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def visible_text(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text lines without scripts and styles."""
     for s in it:
