@@ -115,7 +115,24 @@ def _stars(edges: DataFrame) -> bool:
     return not per.where((F.col("a") > 1) | (F.col("a") > 0) & (F.col("b") > 0)).limit(1).count()
 
 
-def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 6) -> DataFrame:
+def prefix_pairs(ids: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``ids(id, comp)`` and ``sets(id, set)`` → pairs ``(u, v)`` of different ``comp``, among them all of this Jaccard similarity.
+
+    Sets are put in order of rising frequency. A pair at the similarity has its first common element early in both, with enough
+    elements left after it, so only the first elements are joined: those that few sets share."""
+    cut = sets.join(ids, "id").select("id", "comp", F.size("set").alias("size"), F.explode("set").alias("t"))
+    freq = cut.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
+    cut = cut.join(freq, "t", "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    ordered = cut.groupBy("id", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
+    first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
+    a = ordered.select("id", "comp", "size", F.posexplode(F.slice("o", F.lit(1), first.cast("int"))).alias("pos", "x"))
+    a = a.where("x.f > 1").select("id", "comp", F.col("x.t").alias("t"), "size", (F.col("size") - F.col("pos")).alias("left"))
+    b = a.select("t", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("size").alias("size2"), F.col("left").alias("left2"))
+    enough = F.least("left", "left2") >= similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-9
+    return a.join(b, "t").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & enough).select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
+
+
+def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 6, similarity: float | None = None, few: int = 16) -> DataFrame:
     """Components of the ids that share buckets and pass ``verify``.
 
     ``members(bucket, id)``, distinct; ``prepare`` takes the rows ``(bucket, id)`` of shared buckets and returns
@@ -123,12 +140,14 @@ def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
     Where all pairs of the buckets number little more than the members, they are verified at once.
     Else a round compares each bucket's members with one leader, so its pairs grow with the members, not
     with their square; members of one component are not compared again. In the end all pairs across the
-    components of a bucket that were not tried yet are verified, so no link between components is lost.
+    components of a bucket that were not tried yet are verified, so no link between components is lost. With a
+    ``similarity``, for which ``prepare`` returns ``(sets, verify)``, buckets of more than ``few`` members only pair
+    members that the order of their sets' elements lets reach it (``prefix_pairs``).
     Returns ``(id, component)`` of linked ids.
     """
     size = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     live = materialize(members.join(size, "bucket").select("bucket", "id", F.col("id").alias("comp"), "n"), "buckets")
-    verify = prepare(live)
+    sets, verify = prepare(live) if similarity else (None, prepare(live))
     tried = links = None
     before = float("inf")
     for k in range(rounds):
@@ -159,12 +178,13 @@ def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
         live2 = materialize(live2.where("n > 2").join(mixed.select("bucket"), "bucket", "left_semi"), "buckets")
         discard(live)
         live = live2
-    other = live.select("bucket", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    pairs = (
-        live.join(other, "bucket")
-        .where("comp < comp2")
-        .select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v"))
-        .distinct()
-    )
+    small = live
+    if similarity:
+        count = live.groupBy("bucket").agg(F.count("*").alias("m"))
+        sized = live.join(count, "bucket")
+        small, large = sized.where(F.col("m") <= few), sized.where(F.col("m") > few).select("id", "comp").distinct()
+    other = small.select("bucket", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
+    pairs = small.join(other, "bucket").where("comp < comp2").select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v"))
+    pairs = (pairs.union(prefix_pairs(materialize(large, "large"), sets, similarity)) if similarity else pairs).distinct()
     good = materialize(verify(pairs if tried is None else materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")), "links").select("u", "v")
     return connected_components(good if links is None else links.union(good)).select(F.col("node").alias("id"), "component")

@@ -97,9 +97,9 @@ def similar_paragraphs(docs: DataFrame, size: int = SHINGLE, similarity: float =
             both = F.size(F.array_intersect("a", "b"))
             return pairs.join(a, "u").join(b, "v").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).drop("a", "b")
 
-        return verify
+        return sets, verify
 
-    return found.select("key", "at", "id"), common.materialize(common.link_buckets(members, prepare), "components")
+    return found.select("key", "at", "id"), common.materialize(common.link_buckets(members, prepare, similarity=similarity), "components")
 
 
 def dedup_paragraphs(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from billforge.llm import op1_suffix_dedup as o1
 from billforge.llm import op2_quality as o2
@@ -208,3 +209,15 @@ def test_pipeline_empty(spark, empty):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_prefix_pairs_lose_no_link(spark):
+    from billforge.llm import common
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(40) for _ in range(60)]
+    sets = {i: {x if rng.random() > 0.01 * (i % 25) else rng.getrandbits(40) for x in base[: 60 - i % 9]} for i in range(150)}
+    d = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, set array<long>")
+    got = {tuple(r) for r in common.prefix_pairs(d.select("id", (F.col("id") % 50).alias("comp")), d, 0.8).collect()}
+    want = {(u, v) for u in sets for v in sets if u < v and u % 50 != v % 50 and 5 * len(sets[u] & sets[v]) >= 4 * len(sets[u] | sets[v])}
+    assert want and want <= got and len(got) < 150 * 149 / 2
