@@ -119,17 +119,22 @@ def prefix_pairs(ids: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     """``ids(id, comp)`` and ``sets(id, set)`` → pairs ``(u, v)`` of different ``comp``, among them all of this Jaccard similarity.
 
     Sets are put in order of rising frequency. A pair at the similarity has its first common element early in both, with enough
-    elements left after it, so only the first elements are joined: those that few sets share."""
+    elements left after it, so only the first elements are joined: those that few sets share. Sets also differ in at least as many
+    elements as the parities of their elements, dealt to 256 places, differ, which must not be too many."""
     cut = sets.join(ids, "id").select("id", "comp", F.size("set").alias("size"), F.explode("set").alias("t"))
     freq = cut.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
     cut = cut.join(freq, "t", "left").withColumn("f", F.coalesce("f", F.lit(1)))
-    ordered = cut.groupBy("id", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
+    place = F.expr("shiftleft(1L, cast(t & 63 as int))")
+    parity = [F.bit_xor(F.when(F.shiftright("t", 6).bitwiseAND(3) == k, place).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(4)]
+    ordered = cut.groupBy("id", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"), *parity)
     first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
-    a = ordered.select("id", "comp", "size", F.posexplode(F.slice("o", F.lit(1), first.cast("int"))).alias("pos", "x"))
-    a = a.where("x.f > 1").select("id", "comp", F.col("x.t").alias("t"), "size", (F.col("size") - F.col("pos")).alias("left"))
-    b = a.select("t", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("size").alias("size2"), F.col("left").alias("left2"))
+    a = ordered.select("id", "comp", "size", F.array("p0", "p1", "p2", "p3").alias("p"), F.posexplode(F.slice("o", F.lit(1), first.cast("int"))).alias("pos", "x"))
+    a = a.where("x.f > 1").select("id", "comp", F.col("x.t").alias("t"), "size", "p", (F.col("size") - F.col("pos")).alias("left"))
+    b = a.select("t", F.col("p").alias("q"), F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("size").alias("size2"), F.col("left").alias("left2"))
     enough = F.least("left", "left2") >= similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-9
-    return a.join(b, "t").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & enough).select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
+    differ = sum((F.bit_count(F.col("p")[k].bitwiseXOR(F.col("q")[k])) for k in range(4)), F.lit(0))
+    alike = differ <= (1 - similarity) / (1 + similarity) * (F.col("size") + F.col("size2")) + 1e-9
+    return a.join(b, "t").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & enough & alike).select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
 
 
 def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 6, similarity: float | None = None, few: int = 16) -> DataFrame:
