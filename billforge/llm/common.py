@@ -128,13 +128,16 @@ def prefix_pairs(ids: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     parity = [F.bit_xor(F.when(F.shiftright("t", 6).bitwiseAND(3) == k, place).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(4)]
     ordered = cut.groupBy("id", "comp", "size").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"), *parity)
     first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
-    a = ordered.select("id", "comp", "size", F.array("p0", "p1", "p2", "p3").alias("p"), F.posexplode(F.slice("o", F.lit(1), first.cast("int"))).alias("pos", "x"))
-    a = a.where("x.f > 1").select("id", "comp", F.col("x.t").alias("t"), "size", "p", (F.col("size") - F.col("pos")).alias("left"))
-    b = a.select("t", F.col("p").alias("q"), F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("size").alias("size2"), F.col("left").alias("left2"))
+    early = F.filter(F.transform(F.slice("o", F.lit(1), first.cast("int")), lambda x, i: F.struct(i.alias("pos"), x["f"].alias("f"), x["t"].alias("t"))), lambda x: x["f"] > 1)
+    a = ordered.select("id", "comp", "size", F.array("p0", "p1", "p2", "p3").alias("p"), early.alias("e")).select("*", F.posexplode("e").alias("k", "x"))
+    # the last few elements before this one: a pair that shares one of them is met there
+    before = F.slice(F.transform("e", lambda x: x["t"]), F.greatest(F.col("k") - 15, F.lit(1)), F.least(F.col("k"), F.lit(16)))
+    a = a.select("id", "comp", F.col("x.t").alias("t"), "size", "p", (F.col("size") - F.col("x.pos")).alias("left"), before.alias("before"))
+    b = a.select("t", F.col("p").alias("q"), F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("size").alias("size2"), F.col("left").alias("left2"), F.col("before").alias("before2"))
     enough = F.least("left", "left2") >= similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-9
     differ = sum((F.bit_count(F.col("p")[k].bitwiseXOR(F.col("q")[k])) for k in range(4)), F.lit(0))
     alike = differ <= (1 - similarity) / (1 + similarity) * (F.col("size") + F.col("size2")) + 1e-9
-    return a.join(b, "t").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & enough & alike).select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
+    return a.join(b, "t").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & enough & alike & ~F.arrays_overlap("before", "before2")).select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
 
 
 def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 6, similarity: float | None = None, few: int = 16) -> DataFrame:
