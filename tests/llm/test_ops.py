@@ -221,3 +221,17 @@ def test_prefix_pairs_lose_no_link(spark):
     got = {tuple(r) for r in common.prefix_pairs(d.select("id", (F.col("id") % 50).alias("comp")), d, 0.8).collect()}
     want = {(u, v) for u in sets for v in sets if u < v and u % 50 != v % 50 and 5 * len(sets[u] & sets[v]) >= 4 * len(sets[u] | sets[v])}
     assert want and want <= got and len(got) < 150 * 149 / 2
+
+
+def test_quality_scores_are_held_out(spark):
+    """Clean documents without a label fare like labelled ones on a small table, bad ones go."""
+    rng = random.Random(8)
+    clean = [f"clean{i}" for i in range(100)]
+    bad = [f"bad{i}" for i in range(100)]
+    say = lambda own, i: " ".join(rng.choices(own, k=80) + [f"only{i}x{j}" for j in range(5)])
+    rows = [(i, say(bad if i % 8 == 0 else clean, i)) for i in range(240)]
+    labels = [(i, int(i % 8 > 0), 0) for i in range(0, 240, 2) if i % 3 == 0 or i % 8 == 0]
+    d = tempfile.mkdtemp()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([x for x in labels if x[0] % 16], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    assert {r.doc_id for r in o2.query(spark, d).where("kept").collect()} == {i for i in range(240) if i % 8}
