@@ -9,6 +9,10 @@ Cases: null, empty and blank texts have fingerprint zero and link like others; r
 share a fingerprint, and only distinct fingerprints are compared; an empty table gives no rows; columns
 besides ``doc_id`` and ``text`` are not read; a null ``doc_id`` keeps its row and never names a component
 unless no other id is there.
+
+The pipeline's stage is wider than the query: near copies there are texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8, which lie up to 11 bits apart, too far for balls. They meet in bands of minimum hashes and are verified
+exactly; a pair at the similarity shares a band with probability 1 - (1 - 0.8**3)**12 = 0.9998.
 """
 
 from __future__ import annotations
@@ -20,9 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, hashing
+from . import common, hashing, op8_paragraphs
 
 SHINGLE_WORDS, SEED, RADIUS, GROUPS = 3, 42, 3, 2
+#: Of the stage: words of a shingle, Jaccard similarity, minimum hashes of a band, bands.
+STAGE_WORDS, STAGE_SIMILARITY, STAGE_ROWS, STAGE_BANDS = 5, 0.8, 3, 12
 #: Shingles hashed at a time; a document is never cut by it, as bit counts of its parts are summed.
 CHUNK_BYTES = 4 << 20
 
@@ -102,8 +108,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``docs(_key, text)`` → ``(_key, component)``: texts linked by the stage's similarity; equal words are one text, no words another."""
+    flat = docs.select(F.col("_key").alias("key"), F.translate(F.coalesce("text", F.lit("")), "\n", " ").cast("binary").alias("text"))
+    found, comps = op8_paragraphs.similar_paragraphs(flat, STAGE_WORDS, STAGE_SIMILARITY, STAGE_ROWS, STAGE_BANDS, least=1)
+    named = found.select(F.col("key").alias("_key"), "id").distinct().join(comps, "id", "left").select("_key", F.coalesce("component", "id").alias("component"))
+    return docs.select("_key").distinct().join(named, "_key", "left").select("_key", F.coalesce("component", F.lit("").cast("binary")).alias("component"))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the rows of each group's first ``doc_id``, one row each; other columns are as they were."""
-    ids = docs.select("doc_id", "text")
-    keep = simhash_dedup(ids).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
+    d = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    ids = d.groupBy("_key").agg(F.first("doc_id").alias("doc_id")).join(near_copies(d.select("_key", "text")), "_key")
+    keep = ids.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])

@@ -44,14 +44,14 @@ def _chunks(texts: list) -> Iterator[list[int]]:
         yield held
 
 
-def _band_rows(batches: Iterator[pd.DataFrame], rows: int, bands: int, size: int) -> Iterator[pd.DataFrame]:
+def _band_rows(batches: Iterator[pd.DataFrame], rows: int, bands: int, size: int, least: int) -> Iterator[pd.DataFrame]:
     rng = np.random.default_rng(SEED)
     mul = rng.integers(1, 1 << 63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     mix = rng.integers(0, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for b in batches:
         texts, keys = list(b["text"]), b["key"].to_numpy()
         for part in _chunks(texts):
-            found = [(k, i, x) for k in part for i, x in paragraphs(texts[k]) if x.count(b" ") >= size - 1]
+            found = [(k, i, x) for k in part for i, x in paragraphs(texts[k]) if x.count(b" ") >= least - 1]
             if not found:
                 continue
             h, bounds = hashing.shingles([x for _, _, x in found], size, SEED)
@@ -69,9 +69,9 @@ def _band_rows(batches: Iterator[pd.DataFrame], rows: int, bands: int, size: int
             })
 
 
-def similar_paragraphs(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
-    """``docs(key, text binary)`` → all paragraphs with a shingle ``(key, at, id)``, and ``(id, component)`` of linked ones."""
-    found = docs.mapInPandas(lambda it: _band_rows(it, rows, bands, size), "key long, at int, id binary, bands array<long>")
+def similar_paragraphs(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS, least: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``docs(key, text binary)`` → all paragraphs of ``least`` words (``size`` where not given) ``(key, at, id)``, and ``(id, component)`` of linked ones."""
+    found = docs.mapInPandas(lambda it: _band_rows(it, rows, bands, size, least or size), "key long, at int, id binary, bands array<long>")
     found = common.materialize(found, "paragraphs")
     first = found.groupBy("id").agg(F.min(F.struct("key", "at")).alias("first"), F.first("bands").alias("bands"))
     members = first.select("id", F.posexplode("bands").alias("band", "v")).select(F.xxhash64("band", "v").alias("bucket"), "id").distinct()

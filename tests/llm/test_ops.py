@@ -235,3 +235,29 @@ def test_quality_scores_are_held_out(spark):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([x for x in labels if x[0] % 16], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     assert {r.doc_id for r in o2.query(spark, d).where("kept").collect()} == {i for i in range(240) if i % 8}
+
+
+def test_simhash_stage_finds_near_copies(spark):
+    """The stage against brute force over all pairs: Jaccard similarity 0.8 of five-word shingles."""
+    rng = random.Random(6)
+    texts = ["one two", "One\ntwo", "three", "", None, " \n"]
+    for _ in range(12):
+        base = rng.choices(WORDS, k=200)
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 5, 7):
+            w = list(base)
+            for at in rng.sample(range(200), edits):
+                w[at] = f"new{rng.random()}"
+            texts.append(" ".join(w))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {"none"})
+    first = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and first[i] != first[j]:
+                a, b = sorted((first[i], first[j]))
+                first = [a if x == b else x for x in first]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in o4.stage(spark, docs, "").collect()) == sorted(set(first))
