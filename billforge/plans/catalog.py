@@ -149,7 +149,7 @@ def include_union(spark, sf):
 @query(f"with {_LOOKUPS_SQL}, k as (select distinct lookup_code c, invoice_no n from l where status = 'DONE' and event_id % 17 = 0) select message_id from l where status <> 'DONE' and exists (select 1 from k where c = lookup_code and (n = '' or invoice_no = '' or n = invoice_no))")
 def wildcard_semi(spark, sf):
     rows = lookups(spark, sf).withColumnsRenamed({"lookup_code": "code", "invoice_no": "number"})
-    return dedupe.wildcard_semi(rows.where("status <> 'DONE'"), rows.where("status = 'DONE' and event_id % 17 = 0")).select("message_id")
+    return dedupe.wildcard_semi(rows.where("status <> 'DONE'"), rows.where("status = 'DONE'")).select("message_id")
 
 
 @query("select doc_id id, cast(strlen(text) as int) size, sha1(text) sha1, min(doc_id) over (partition by text) kept, count(*) over (partition by text) copies from documents")

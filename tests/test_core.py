@@ -96,3 +96,21 @@ def test_prefix_lookup(spark):
     names = spark.createDataFrame([("alpha", "1", 1), ("alpha beta", "2", 2)], "key string, tax_id string, ordinal int")
     rows = spark.createDataFrame([("alpha beta co",), ("alphabet",)], "name string")
     assert {r.name: r.tax_id for r in reconcile.prefix_lookup(rows, names).collect()} == {"alpha beta co": "1", "alphabet": None}
+
+
+def whole(sql, cut, *tables):
+    """Rows of a catalogue SQL without a cut that it still holds."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    for t in tables:
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    return sorted(con.execute(sql.replace(cut, "")).fetchall())
+
+
+def test_wildcard_semi_looks_up_all_done_rows(spark):
+    from billforge.plans import catalog
+
+    want = whole(catalog.SQL["wildcard_semi"], " and event_id % 17 = 0", "events")
+    assert sorted(map(tuple, catalog.wildcard_semi(spark, "/root/testdata/sf0.001").collect())) == want
