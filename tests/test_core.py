@@ -114,3 +114,10 @@ def test_wildcard_semi_looks_up_all_done_rows(spark):
 
     want = whole(catalog.SQL["wildcard_semi"], " and event_id % 17 = 0", "events")
     assert sorted(map(tuple, catalog.wildcard_semi(spark, "/root/testdata/sf0.001").collect())) == want
+
+
+def test_accent_fold_takes_every_language(spark):
+    from billforge.plans import catalog
+
+    want = whole(catalog.SQL["accent_fold"], " where lang <> 'de'", "documents")
+    assert sorted(map(tuple, catalog.accent_fold(spark, "/root/testdata/sf0.001").collect())) == want
