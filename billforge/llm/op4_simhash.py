@@ -117,8 +117,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows of each group's first ``doc_id``, one row each; other columns are as they were."""
+    """One row of each group: that of the first ``doc_id``, null last, and among its texts the one of the smallest hash; columns are as they were."""
     d = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     ids = d.groupBy("_key").agg(F.first("doc_id").alias("doc_id")).join(near_copies(d.select("_key", "text")), "_key")
-    keep = ids.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    keep = ids.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "_key"))["_key"].alias("_key"))
+    return d.join(keep.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

@@ -261,3 +261,11 @@ def test_simhash_stage_finds_near_copies(spark):
                 first = [a if x == b else x for x in first]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in o4.stage(spark, docs, "").collect()) == sorted(set(first))
+
+
+def test_simhash_stage_with_null_and_repeated_ids(spark):
+    """Texts of one group lose no row to another group's id."""
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abce")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, e), (7, e), (None, c), (9, e)]
+    out = o4.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(None, a), (None, b), (7, c), (7, e)], key=str)
