@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Word separators of every word rule: space and U+0009 to U+000D.
@@ -15,29 +15,43 @@ _local_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Only a local master, all of whose tasks share this machine's disk, may leave it unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local_root:
         _local_root.append("file://" + tempfile.mkdtemp(prefix="billforge-"))
     return _local_root[0]
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession._jvm.System.gc()  # the finished job's shuffle files go once the driver drops them
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Nothing reads the write's shuffle files again, so Spark is told to remove them as it ends."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete a table that ``materialize`` wrote and that no later step reads."""
-    path = getattr(df, "_written_path", None)
-    if path:
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_written_path", None)
+        if not path:
+            continue
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -47,12 +61,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(text) -> F.Column:
+def words(text) -> Column:
     """Array of the text's ``[^\\x20\\x09-\\x0D]+`` words; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")
 
 
-def source_key(source="source") -> F.Column:
+def source_key(source="source") -> Column:
     """Orders sources by code point, null last; never null itself."""
     return F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name"))
 
@@ -143,7 +157,7 @@ def prefix_pairs(ids: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 6, similarity: float | None = None, few: int = 16) -> DataFrame:
     """Components of the ids that share buckets and pass ``verify``.
 
-    ``members(bucket, id)``, distinct; ``prepare`` takes the rows ``(bucket, id)`` of shared buckets and returns
+    ``members(bucket, id)``, distinct but for chance; ``prepare`` takes the rows ``(bucket, id)`` of shared buckets and returns
     ``verify``, which takes ``pairs(u, v, ...)`` and returns those that are linked.
     Where all pairs of the buckets number little more than the members, they are verified at once.
     Else a round compares each bucket's members with one leader, so its pairs grow with the members, not
@@ -157,6 +171,7 @@ def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
     live = materialize(members.join(size, "bucket").select("bucket", "id", F.col("id").alias("comp"), "n"), "buckets")
     sets, verify = prepare(live) if similarity else (None, prepare(live))
     tried = links = None
+    written: list[DataFrame] = []
     before = float("inf")
     for k in range(rounds):
         n = live.groupBy("bucket").agg(F.count("*").cast("double").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"))
@@ -174,6 +189,7 @@ def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
         )
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         good = materialize(verify(pairs), "links")
+        written.append(pairs)
         tried = pairs.select("u", "v") if tried is None else tried.union(pairs.select("u", "v"))
         links = good.select("u", "v") if links is None else links.union(good.select("u", "v"))
         # two hops of least neighbours join nearly all; what they leave apart costs pairs, not links
@@ -184,7 +200,7 @@ def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
         mixed = live2.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
         # a bucket of two is settled by its only pair
         live2 = materialize(live2.where("n > 2").join(mixed.select("bucket"), "bucket", "left_semi"), "buckets")
-        discard(live)
+        discard(live, hop)
         live = live2
     small = live
     if similarity:
@@ -194,5 +210,41 @@ def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
     other = small.select("bucket", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
     pairs = small.join(other, "bucket").where("comp < comp2").select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v"))
     pairs = (pairs.union(prefix_pairs(materialize(large, "large"), sets, similarity)) if similarity else pairs).distinct()
-    good = materialize(verify(pairs if tried is None else materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")), "links").select("u", "v")
-    return connected_components(good if links is None else links.union(good)).select(F.col("node").alias("id"), "component")
+    if tried is not None:
+        pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        written.append(pairs)
+    good = materialize(verify(pairs), "links")
+    good = good.select("u", "v") if links is None else links.union(good.select("u", "v"))
+    discard(live, *written)
+    return connected_components(good).select(F.col("node").alias("id"), "component")
+
+
+def shared_units(found: DataFrame, first: DataFrame, comps: DataFrame) -> DataFrame:
+    """Occurrences of the classes that hold two or more: ``(key, at, class, head, gone)``.
+
+    ``found(key, doc_id, at, id)`` are all occurrences, ``first(nid, id, lo, hi)`` the distinct units with the least and the
+    greatest occurrence, ``comps(id, component)`` the components of linked ``nid``s. Classes are made from distinct units, so
+    a unit of very many occurrences counts once; only shared occurrences are joined, and that join's skew can be split."""
+    named = first.join(comps.withColumnRenamed("id", "nid"), "nid", "left").withColumn("class", F.coalesce("component", "nid"))
+    classes = named.groupBy("class").agg(F.min("lo").alias("head"), F.max("hi").alias("tail")).where(~F.col("head").eqNullSafe(F.col("tail")))
+    ids = named.join(classes, "class").select("id", "class", "head")
+    gone = (F.col("key") != F.col("head.key")) | (F.col("at") != F.col("head.at"))
+    return found.join(ids, "id").select("key", "at", "class", "head", gone.alias("gone"))
+
+
+def unit_report(occurrences: DataFrame) -> DataFrame:
+    """``shared_units`` → one row a ``key``: ``removed`` places, ``n_classes``, ``class_doc_ids``. Repeated rows fall together."""
+    return occurrences.groupBy("key").agg(
+        F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("at")))).alias("removed"), F.size(F.collect_set("class")).cast("long").alias("n_classes"),
+        F.sort_array(F.collect_set("head.doc_id")).alias("class_doc_ids"),
+    )
+
+
+def text_key() -> Column:
+    """128 bits that stand for a row's ``doc_id`` and ``text``."""
+    return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x01")), F.coalesce(F.col("text"), F.lit("\x01"))).cast("binary")))
+
+
+def n_lines(text="text") -> Column:
+    """Lines with a word."""
+    return F.size(F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n"), lambda x: x.rlike(f"[^{SPACES}]"))).cast("long")

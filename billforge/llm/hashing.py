@@ -72,3 +72,80 @@ def shingles(units: list[bytes], size: int, seed: int) -> tuple[np.ndarray, np.n
     if not len(begin):
         return np.zeros(0, np.uint64), bounds
     return xxh64(data, starts[begin], ends[begin + width - 1], seed), bounds
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+_UP = np.multiply.accumulate(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def word_hashes(units: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of the units, and each unit's first word (with an end mark)."""
+    data, starts, ends, first = word_bounds(units)
+    return xxh64(data, starts, ends, seed), first
+
+
+def shingles_of(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``shingles``, of word hashes; made from the words' hashes, not from their text."""
+    n = np.diff(first)
+    count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
+    begin = np.repeat(first[:-1] - bounds[:-1], count) + np.arange(bounds[-1])
+    width = np.repeat(np.minimum(n, size), count)
+    padded = np.concatenate([words, np.zeros(size, np.uint64)])
+    h = width.astype(np.uint64)
+    for j in range(size):
+        h += np.where(width > j, padded[begin + j] * _UP[j], np.uint64(0))
+    return _mix(h), bounds
+
+
+def window_min(h: np.ndarray, w: int) -> np.ndarray:
+    """The least of each ``w`` neighbours."""
+    n = -(-len(h) // w) * w
+    x = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    x[: len(h)] = h
+    x = x.reshape(-1, w)
+    pre = np.minimum.accumulate(x, axis=1).ravel()
+    suf = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
+    m = len(h) - w + 1
+    return np.minimum(suf[:m], pre[w - 1 : w - 1 + m])
+
+
+def pieces(words: np.ndarray, first: np.ndarray, reach: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units of ``least`` words or more, cut where a pair of words has the least hash of all pairs within ``reach`` words.
+
+    The cuts depend on the words around them alone, so the same passage is cut alike wherever it stands.
+    Returns each piece's unit, first word in it, number of words, and 128-bit hash as two columns."""
+    n = np.diff(first)
+    unit = np.flatnonzero(n >= max(least, 2))
+    n = n[unit]
+    if not len(unit):
+        return unit, unit, unit, np.zeros((0, 2), np.uint64)
+    begin = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(begin, n)
+    w = words[np.repeat(first[unit], n) + place]
+    pair = _mix(w * _UP[1] + np.append(w[1:], np.uint64(0)) * _UP[2])
+    high = np.iinfo(np.uint64).max
+    pair[begin + n - 1] = high  # a unit's last word begins no pair
+    at = np.arange(len(w)) + reach * (np.repeat(np.arange(len(unit)), n) + 1)
+    wide = np.full(len(w) + reach * (len(unit) + 1), high, np.uint64)
+    wide[at] = pair
+    cut = (window_min(wide, 2 * reach + 1)[at - reach] == pair) & (pair != high)
+    cut[begin] = True
+    start = np.flatnonzero(cut)
+    size = np.diff(np.append(start, len(w)))
+    # word hashes by their place in the piece, summed: two sums of independent multipliers
+    off = (np.arange(len(w)) - np.repeat(start, size)).astype(np.uint64)
+    ids = np.empty((len(start), 2), np.uint64)
+    for k in range(2):
+        salted = _mix(w ^ _mix(off * _P[k] + _P[k + 2]))
+        ids[:, k] = _mix(np.add.reduceat(salted, start) + size.astype(np.uint64))
+    whole = size > reach  # what a unit's ends cut off shorter is no piece
+    return np.repeat(unit, n)[start][whole], place[start][whole], size[whole], ids[whole]

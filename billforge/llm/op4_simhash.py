@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common, hashing, op8_paragraphs
 
-SHINGLE_WORDS, SEED, RADIUS, GROUPS = 3, 42, 3, 2
+SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
+#: Groups of bits: more distinct fingerprints than this take four, whose 48 bits keep chance meetings rare, fewer take two.
+FEW_FINGERPRINTS = 1 << 24
 #: Of the stage: words of a shingle, Jaccard similarity, minimum hashes of a band, bands.
 STAGE_WORDS, STAGE_SIMILARITY, STAGE_ROWS, STAGE_BANDS = 5, 0.8, 3, 12
 #: Shingles hashed at a time; a document is never cut by it, as bit counts of its parts are summed.
@@ -76,7 +78,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS, seed: int = SEED) -
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, f"doc_id {ids}, fp long")
 
 
-def near_components(distinct: DataFrame, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
+def near_components(distinct: DataFrame, radius: int = RADIUS, groups: int = 2) -> DataFrame:
     """``distinct(fp)`` → ``(id, component)`` of the fingerprints that link to another."""
     if radius > 3:
         raise ValueError("balls of one bit meet up to radius 3")
@@ -85,17 +87,22 @@ def near_components(distinct: DataFrame, radius: int = RADIUS, groups: int = GRO
     for g in range(groups):
         mask = ~(((1 << width) - 1) << (g * width)) & ((1 << 64) - 1)
         flips = [0] + [1 << b for b in range(64) if mask >> b & 1]
-        signed = [x - (1 << 64) if x >> 63 else x for x in [mask, *flips]]
+        # two groups' variants may fall on one bucket, which costs a pair, not a link
+        signed = [x - (1 << 64) if x >> 63 else x for x in [mask, *[f ^ (g * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for f in flips]]]
         rest = F.col("fp").bitwiseAND(F.lit(signed[0]))
-        variants += [F.struct(F.lit(g).alias("g"), rest.bitwiseXOR(F.lit(x)).alias("v")) for x in signed[1:]]
-    members = distinct.select(F.col("fp").alias("id"), F.inline(F.array(*variants))).select(F.struct("g", "v").alias("bucket"), "id")
+        variants += [rest.bitwiseXOR(F.lit(x)) for x in signed[1:]]
+    members = distinct.select(F.col("fp").alias("id"), F.explode(F.array(*variants)).alias("bucket"))
     return common.link_buckets(members, lambda _: lambda pairs: pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
 
 
-def simhash_dedup(docs: DataFrame, size: int = SHINGLE_WORDS, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row; the component is the smallest ``doc_id`` reachable."""
+def simhash_dedup(docs: DataFrame, size: int = SHINGLE_WORDS, radius: int = RADIUS, groups: int | None = None) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row; the component is the smallest ``doc_id`` reachable.
+
+    Two groups emit 66 variants of 32 free bits a fingerprint, four 196 of 48 bits; both lose no link. n fingerprints meet by chance about
+    66 n / 2**33 times each with two groups and 196 n / 2**50 with four."""
     fps = common.materialize(fingerprints(docs, size), "fingerprints")
     least = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    groups = groups or (2 if least.count() <= FEW_FINGERPRINTS else 4)
     comps = common.materialize(near_components(least.select("fp"), radius, groups), "components")
     named = least.join(comps, F.col("fp") == F.col("id"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -110,15 +117,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """``docs(_key, text)`` → ``(_key, component)``: texts linked by the stage's similarity; equal words are one text, no words another."""
-    flat = docs.select(F.col("_key").alias("key"), F.translate(F.coalesce("text", F.lit("")), "\n", " ").cast("binary").alias("text"))
-    found, comps = op8_paragraphs.similar_paragraphs(flat, STAGE_WORDS, STAGE_SIMILARITY, STAGE_ROWS, STAGE_BANDS, least=1)
-    named = found.select(F.col("key").alias("_key"), "id").distinct().join(comps, "id", "left").select("_key", F.coalesce("component", "id").alias("component"))
-    return docs.select("_key").distinct().join(named, "_key", "left").select("_key", F.coalesce("component", F.lit("").cast("binary")).alias("component"))
+    flat = docs.select(F.col("_key").alias("key"), F.lit(0).alias("doc_id"), F.translate(F.coalesce("text", F.lit("")), "\n", " ").cast("binary").alias("text"))
+    found = common.materialize(op8_paragraphs.paragraph_units(flat, STAGE_WORDS, STAGE_ROWS, STAGE_BANDS, least=1), "texts")
+    first, comps = op8_paragraphs.similar_paragraphs(flat, found, STAGE_WORDS, STAGE_SIMILARITY)
+    named = first.join(comps.withColumnRenamed("id", "nid"), "nid", "left").select("id", F.coalesce("component", "nid").alias("component"))
+    named = found.select(F.col("key").alias("_key"), "id").distinct().join(named, "id").select("_key", "component")
+    return docs.select("_key").distinct().join(named, "_key", "left").select("_key", F.coalesce("component", F.lit(-1)).alias("component"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: that of the first ``doc_id``, null last, and among its texts the one of the smallest hash; columns are as they were."""
-    d = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    """One row of each group: that of the first ``doc_id``, null last, and among its texts the one of the smallest hash; columns are as they
+    were, also one named ``_key``."""
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    d = docs.select("doc_id", "text", common.text_key().alias("_key"), *[F.col(c).alias(x) for c, x in own.items()])
     ids = d.groupBy("_key").agg(F.first("doc_id").alias("doc_id")).join(near_copies(d.select("_key", "text")), "_key")
     keep = ids.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "_key"))["_key"].alias("_key"))
-    return d.join(keep.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keep = common.materialize(keep.select("_key"), "keep")
+    return d.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col(x).alias(c) for c, x in own.items()])

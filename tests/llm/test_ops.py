@@ -269,3 +269,35 @@ def test_simhash_stage_with_null_and_repeated_ids(spark):
     rows = [(None, a), (None, b), (None, b), (7, c), (7, e), (7, e), (None, c), (9, e)]
     out = o4.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(tuple, out), key=str) == sorted([(None, a), (None, b), (7, c), (7, e)], key=str)
+
+
+def test_passage_inside_longer_lines(spark):
+    """A passage of 60 words that two longer lines share is found in both; a word more or less around it changes nothing."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    say = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    rows = []
+    for i in range(60):
+        passage = say(60)
+        rows += [(2 * i, f"{say(rng.randint(5, 90))} {passage} {say(rng.randint(0, 50))}"), (2 * i + 1, f"{say(rng.randint(0, 40))} {passage} {say(rng.randint(5, 80))}")]
+    rows += [(1000 + i, say(200)) for i in range(60)]
+    got = {r.doc_id: r.passages for r in o8.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(bool(got[i]) for i in range(120)) >= 114 and not any(got[1000 + i] for i in range(60))
+    words = {i: t.split() for i, t in rows}
+    for i in range(120):
+        for p in got[i]:
+            piece, other = words[i][p["word"] : p["word"] + p["words"]], " ".join(words[i ^ 1])
+            assert " ".join(piece) in other and p["gone"] == (i % 2 == 1)
+
+
+@pytest.mark.parametrize("groups", [2, 4])
+def test_groups_lose_no_link(spark, groups):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(5)})
+    signed = {f - (1 << 64) if f >> 63 else f: f for f in fps}
+    got = {signed[r.id]: r.component for r in o4.near_components(spark.createDataFrame([(x,) for x in signed], "fp long"), groups=groups).collect()}
+    for a in fps:
+        for b in fps:
+            if a < b and (a ^ b).bit_count() <= 3:
+                assert got[a] == got[b]
