@@ -5,7 +5,10 @@ GRAM-byte grams), so equal windows have equal anchors at equal offsets. Anchors
 windows of an anchor form one context (at most 2 LENGTH - GRAM bytes). Contexts equal to another are covered whole.
 Where an anchor has several contexts, their enhanced suffix array is built and a stack scan of its common-prefix
 intervals reports the maximal repeats: intervals of LENGTH or more whose left neighbours differ, with all their
-occurrences. Anchors with more than GROUP contexts count the hashes of all their windows instead, which is as exact.
+occurrences. A group of more than GROUP contexts is dealt out before it is scanned: equal windows stand at equal distances
+from the anchor, so contexts are cut into stretches of WIDTHS windows of like distance, and stretches whose windows may be
+equal share all bytes that lie in every one of them. Groups that are still too large are cut into narrower stretches; the
+narrowest is one window, of which equal ones need no scan.
 
 Cases: null texts are empty; texts shorter than LENGTH lose nothing; repeated rows cover each other; bytes that are
 no full character may be left where a span ends within one; ties of hashes are ordered by place; texts of any length
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, GRAM, GROUP = 200, 32, 1000
+WIDTHS = (16, 1)
 PIECE = 1 << 20  # windows looked at together, of one long text or several short ones
 CHUNK = 400  # contexts in one suffix array
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -63,8 +67,9 @@ def _window_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(suf[:m], pre[w - 1 : w - 1 + m])
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text, in one or more parts: its index, anchor hashes, and the first and last window of each anchor."""
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text, in one or more parts: its index, anchor hashes, the first and last window of each anchor, and the bytes from
+    the first window's start to the anchor."""
     batch: list[tuple[int, int, bytes]] = []
     size = 0
     for k, t in enumerate(texts):
@@ -79,7 +84,7 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Itera
         yield from _anchors(batch, length, gram)
 
 
-def _anchors(batch: list[tuple[int, int, bytes]], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _anchors(batch: list[tuple[int, int, bytes]], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     w = length - gram + 1
     h = _gram_hashes(np.frombuffer(b"".join(p for _, _, p in batch), np.uint8), gram)
     least = _window_min(h, w)
@@ -106,7 +111,7 @@ def _anchors(batch: list[tuple[int, int, bytes]], length: int, gram: int) -> Ite
     cut = np.searchsorted(owner, np.arange(len(batch) + 1))
     for j, (k, off, _) in enumerate(batch):
         a, b = cut[j], cut[j + 1]
-        yield k, h[at[a:b]], starts[a:b] - begin[j] + off, stops[a:b] - begin[j] + off
+        yield k, h[at[a:b]], starts[a:b] - begin[j] + off, stops[a:b] - begin[j] + off, at[a:b] - starts[a:b]
 
 
 def maximal_repeats(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -208,34 +213,47 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     common.discard(rows)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("g", "ch", "key", "starts", "n", "off", "ctx")
         for b in batches:
             texts = list(b["text"])
             needs = [np.sort(np.array(x, np.int64)) for x in b["need"]]
-            out: dict[str, list] = {k: [] for k in ("a", "ch", "key", "starts", "n", "ctx")}
-            for k, hs, first, last in anchors(texts, length, gram):
+            out: dict[str, list] = {k: [] for k in names}
+            for k, hs, first, last, off in anchors(texts, length, gram):
                 hs = hs.view(np.int64)
                 i = np.flatnonzero(np.isin(hs, needs[k]))
-                own: dict[tuple[int, bytes], list[int]] = {}
-                for a, s, e in zip(hs[i].tolist(), first[i].tolist(), last[i].tolist(), strict=True):
-                    own.setdefault((a, texts[k][s : e + length]), []).append(s)
-                for (a, ctx), starts in own.items():
-                    for name, v in (("a", a), ("ch", xxhash.xxh3_128_digest(ctx)), ("key", b["key"].iloc[k]), ("starts", starts), ("n", len(starts)), ("ctx", ctx)):
+                own: dict[tuple[int, int, bytes], list[int]] = {}
+                for a, s, e, o in zip(hs[i].tolist(), first[i].tolist(), last[i].tolist(), off[i].tolist(), strict=True):
+                    own.setdefault((a, o, texts[k][s : e + length]), []).append(s)
+                for (a, o, ctx), starts in own.items():
+                    for name, v in zip(names, (a.to_bytes(8, "big", signed=True), xxhash.xxh3_128_digest(ctx), b["key"].iloc[k], starts, len(starts), o, ctx), strict=True):
                         out[name].append(v)
-                if len(out["a"]) > 20_000:
+                if len(out["g"]) > 20_000:
                     yield pd.DataFrame(out)
                     out = {k: [] for k in out}
             yield pd.DataFrame(out)
 
     full = d.join(need, "id").select("text", "need", F.unhex(F.md5("text")).alias("key"))
-    ctx = common.materialize(full.mapInPandas(cut, "a long, ch binary, key binary, starts array<int>, n long, ctx binary"), "contexts")
-    uniq = common.materialize(ctx.groupBy("a", "ch").agg(F.sum("n").alias("n"), F.min("ctx").alias("ctx")), "contexts")
-    kinds = uniq.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = uniq.join(kinds, "a")
+    ctx = common.materialize(full.mapInPandas(cut, "g binary, ch binary, key binary, starts array<int>, n long, off int, ctx binary"), "contexts")
+    common.discard(need)
+    cover = common.materialize(_cover(ctx, length, WIDTHS), "cover")
+    at = ctx.select("g", "ch", "key", F.explode("starts").alias("s")).distinct().join(cover, ["g", "ch"])
+    moved = F.transform("spans", lambda x: F.struct((x["b"] + F.col("s")).alias("b"), (x["e"] + F.col("s")).alias("e")))
+    spans = common.materialize(at.select("key", F.explode(moved).alias("x")).groupBy("key").agg(F.collect_set("x").alias("spans")), "spans")
+    common.discard(ctx, cover)
+    return spans
+
+
+def _cover(rows: DataFrame, length: int, widths: tuple[int, ...]) -> DataFrame:
+    """``rows(g, ch, n, off, ctx)``, the contexts of groups ``g`` with their content's hash, occurrences and the bytes before the anchor
+    → ``(g, ch, spans)``: the parts of each context that stand in its group twice or more."""
+    uniq = common.materialize(rows.groupBy("g", "ch").agg(F.sum("n").alias("n"), F.min("off").alias("off"), F.min("ctx").alias("ctx")), "contexts")
+    kinds = common.materialize(uniq.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    mixed = uniq.join(kinds, "g")
 
     def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, bytes, bytes]] = []
+        held: list[tuple[bytes, bytes, bytes]] = []
         for b in batches:
-            for row in zip(b["a"], b["ch"], b["ctx"], strict=True):
+            for row in zip(b["g"], b["ch"], b["ctx"], strict=True):
                 if len(held) >= CHUNK and row[0] != held[-1][0]:
                     yield _spans(held)
                     held = []
@@ -243,29 +261,40 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         if held:
             yield _spans(held)
 
-    def _spans(held: list[tuple[int, bytes, bytes]]) -> pd.DataFrame:
+    def _spans(held: list[tuple[bytes, bytes, bytes]]) -> pd.DataFrame:
         found = covered([x[2] for x in held], length)
-        keep = [(a, ch, [{"b": s, "e": e} for s, e in f]) for (a, ch, _), f in zip(held, found, strict=True) if f]
-        return pd.DataFrame(keep, columns=["a", "ch", "spans"])
-
-    some = mixed.where(F.col("kinds") <= GROUP).select("a", "ch", "ctx").repartition("a").sortWithinPartitions("a")
-    some = some.mapInPandas(suffixes, f"a long, ch binary, spans {_SPANS}")
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for a, ch, c in zip(b["a"], b["ch"], b["ctx"], strict=True):
-                m = len(c) - length + 1
-                yield pd.DataFrame({"wh": [xxhash.xxh3_128_digest(c[i : i + length]) for i in range(m)], "a": a, "ch": [ch] * m, "o": np.arange(m, dtype=np.int32)})
-
-    hot = mixed.where(F.col("kinds") > GROUP).select("a", "ch", "ctx").mapInPandas(windows, "wh binary, a long, ch binary, o int")
-    hot = common.materialize(hot, "windows")
-    often = hot.groupBy("wh").agg(F.count("*").alias("c")).where("c > 1").select("wh")
-    hot = hot.join(often, "wh").groupBy("a", "ch").agg(F.transform(F.sort_array(F.collect_set("o")), lambda o: F.struct(o.alias("b"), (o + length).alias("e"))).alias("spans"))
-    whole = uniq.where("n > 1").select("a", "ch", F.array(F.struct(F.lit(0).alias("b"), F.octet_length("ctx").alias("e"))).alias("spans"))
-    cover = common.materialize(whole.union(some.union(hot).join(uniq.where("n > 1").select("a", "ch"), ["a", "ch"], "left_anti")), "cover")
-    at = ctx.select("a", "ch", "key", F.explode("starts").alias("s")).distinct().join(cover, ["a", "ch"])
-    moved = F.transform("spans", lambda x: F.struct((x["b"] + F.col("s")).alias("b"), (x["e"] + F.col("s")).alias("e")))
-    return at.select("key", F.explode(moved).alias("x")).groupBy("key").agg(F.collect_set("x").alias("spans"))
+        keep = [(g, ch, [{"b": s, "e": e} for s, e in f]) for (g, ch, _), f in zip(held, found, strict=True) if f]
+        return pd.DataFrame(keep, columns=["g", "ch", "spans"])
+
+    some = mixed.where(F.col("kinds") <= GROUP).select("g", "ch", "ctx").repartition("g").sortWithinPartitions("g")
+    some = some.mapInPandas(suffixes, f"g binary, ch binary, spans {_SPANS}")
+    if kinds.where(F.col("kinds") > GROUP).limit(1).count():
+        width = widths[0]
+
+        def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names = ("g", "ch", "n", "off", "ctx", "of_g", "of_ch", "o")
+            for b in batches:
+                out: list[tuple] = []
+                for g, ch, n, off, c in zip(b["g"], b["ch"], b["n"], b["off"], b["ctx"], strict=True):
+                    last = len(c) - length  # the windows start at 0 to last, off to off - last bytes before the anchor
+                    for k in range((off - last) // width, off // width + 1):
+                        lo, hi = max(0, off - (k + 1) * width + 1), min(last, off - k * width)
+                        core = c[off - k * width : off - (k + 1) * width + 1 + length]
+                        part = c[lo : hi + length]
+                        out.append((xxhash.xxh3_128_digest(k.to_bytes(4, "big", signed=True) + core), xxhash.xxh3_128_digest(part), n, off - lo, part, g, ch, lo))
+                    if len(out) > 20_000:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+                yield pd.DataFrame(out, columns=names)
+
+        hot = mixed.where(F.col("kinds") > GROUP).select("g", "ch", "n", "off", "ctx")
+        parts = common.materialize(hot.mapInPandas(stretches, "g binary, ch binary, n long, off int, ctx binary, of_g binary, of_ch binary, o int"), "stretches")
+        found = _cover(parts, length, widths[1:])
+        moved = F.transform("spans", lambda x: F.struct((x["b"] + F.col("o")).alias("b"), (x["e"] + F.col("o")).alias("e")))
+        found = parts.select("g", "ch", F.col("of_g"), "of_ch", "o").join(found, ["g", "ch"]).select(F.col("of_g").alias("g"), F.col("of_ch").alias("ch"), F.explode(moved).alias("x"))
+        some = some.union(found.groupBy("g", "ch").agg(F.collect_set("x").alias("spans")))
+    whole = uniq.where("n > 1").select("g", "ch", F.array(F.struct(F.lit(0).alias("b"), F.octet_length("ctx").alias("e"))).alias("spans"))
+    return whole.union(some.join(uniq.where("n > 1").select("g", "ch"), ["g", "ch"], "left_anti"))
 
 
 def _grouped(parts: Iterator, size: int) -> Iterator[list]:
@@ -283,7 +312,7 @@ def _grouped(parts: Iterator, size: int) -> Iterator[list]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, spans, kept binary`` for every row: merged removed spans, and the other bytes."""
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    spans = common.materialize(repeat_spans(d.select("text"), length, gram), "spans")
+    spans = repeat_spans(d.select("text"), length, gram)
     d = d.withColumn("key", F.unhex(F.md5("text"))).join(spans, "key", "left").select("doc_id", "text", "spans")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

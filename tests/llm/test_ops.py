@@ -57,7 +57,10 @@ def test_empty_table(spark, empty, o):
     assert o.query(spark, empty).count() == 0
 
 
-def test_suffix_dedup(spark, folder, rows):
+@pytest.mark.parametrize("group", [1, 4, o1.GROUP])
+def test_suffix_dedup(spark, folder, rows, group, monkeypatch):
+    """Groups scanned whole, in stretches of windows, and window by window."""
+    monkeypatch.setattr(o1, "GROUP", group)
     texts = [(t or "").encode() for _, t, _ in rows]
     seen = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     want = []
