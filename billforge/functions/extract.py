@@ -1,141 +1,12 @@
-"""Invoice fields from text, as column expressions."""
+"""Invoice fields from text: the functions of ``rules``, ``page_fields`` and ``money`` under one name."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from .money import amount_in_words, pre_tax, words_amount, words_to_number
+from .page_fields import buyer_name, buyer_tax_id, clean_plate, date, file_number, goods_name, header_identity, invoice_number, lookup_fields, normal_series, plate, plate_in, series
+from .rules import amount, amount_status, goods_class, needs_better, pick_pre_tax, suspicious_number, vat_matches, word_override
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
-
-from ..schema import NO_PLATE, REVIEW
-from . import text as T
-
-PLATE = r"(?:^|[^0-9A-Za-z])([0-9]{2})[ -]?([A-Za-z][A-Za-z0-9]?)[ .-]*([0-9]{3})[ .-]?([0-9]{2})(?:[^0-9]|$)"
-MAX_AMOUNT = 99_999_999_999
-RATES = (5, 8, 10)
-
-
-def plate(c) -> Column:
-    """``NNX-NNN.NN`` of the first plate; null if there is none."""
-    part = lambda i: F.regexp_extract(c, PLATE, i)
-    return F.when(c.rlike(PLATE), F.concat(part(1), F.upper(part(2)), F.lit("-"), part(3), F.lit("."), part(4)))
-
-
-def clean_plate(c) -> Column:
-    return F.coalesce(plate(c), F.lit(NO_PLATE))
-
-
-def date(c) -> Column:
-    """``dd/mm/yyyy`` of 'ngày d tháng m năm y', else of the first numeric date; null if there is none."""
-    words = r"(?iu)ng[aà]y\s*([0-9]{1,2})\s*th[aá]ng\s*([0-9]{1,2})\s*n[aă]m\s*([0-9]{4})"
-    plain = r"([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})"
-    fill = lambda p: F.concat_ws("/", F.lpad(F.regexp_extract(c, p, 1), 2, "0"), F.lpad(F.regexp_extract(c, p, 2), 2, "0"), F.regexp_extract(c, p, 3))
-    return F.when(c.rlike(words), fill(words)).when(c.rlike(plain), fill(plain))
-
-
-def goods_class(c) -> Column:
-    """Repair, diesel class and petrol class, in that order of rules."""
-    t = F.lower(T.fold_accents(c))
-    return (
-        F.when(t.rlike("sua chua|bao duong"), "Sửa chữa").when(t.rlike("diezen|diesel"), "Dầu").when(t.rlike(r"xang|ron|e5|(?:^|[^0-9])95(?:[^0-9]|$)"), "Xăng")
-        .when(t.rlike(r"(?:^|[^a-z])(?:dau|do)(?:[^a-z]|$)"), "Dầu").otherwise(REVIEW)
-    )
-
-
-def amount(c) -> Column:
-    """Whole money units; null for blanks and for values that need review."""
-    v = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\s.,]", "").try_cast("bigint")
-    return F.when((v >= 100_000) & (v <= MAX_AMOUNT), v)
-
-
-def amount_status(c) -> Column:
-    v = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\s.,]", "").try_cast("bigint")
-    return F.when(v.isNull(), "blank").when(v.between(100_000, MAX_AMOUNT), "ok").otherwise("review")
-
-
-def series(c) -> Column:
-    """Invoice series such as 1C26TAA."""
-    return F.upper(F.nullif(F.regexp_extract(c, r"(?:^|[^0-9A-Za-z])([12]?[CKck][0-9]{2}[A-Za-z]{3})(?:[^0-9A-Za-z]|$)", 1), F.lit("")))
-
-
-def invoice_number(c) -> Column:
-    """The longest labelled number of 4 to 8 digits, the first of equals."""
-    t = T.fold_accents(c)
-    found = F.regexp_extract_all(t, F.lit(r"(?i)(?:^|[^a-z])(?:so|no)\s*[:.]?\s*0*([0-9]{4,8})(?:[^0-9]|$)"), F.lit(1))
-    return F.aggregate(found, F.lit(None).cast("string"), lambda s, x: F.when(s.isNull() | (F.length(x) > F.length(s)), x).otherwise(s))
-
-
-def suspicious_number(c) -> Column:
-    d = F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")
-    return ~F.length(d).between(4, 8) | d.rlike("^(?:010|030|031)")
-
-
-def vat_matches(pre, tax) -> Column:
-    """The tax fits a rate within three units or 0.2 %."""
-    out = F.lit(False)
-    for r in RATES:
-        want = pre * r / 100.0
-        out = out | (F.abs(tax - want) <= F.greatest(F.lit(3.0), want * 0.002))
-    return out
-
-
-def pick_pre_tax(amounts) -> Column:
-    """Of candidate amounts the one with a tax and a sum among them, the largest; else the largest amount."""
-    triple = F.filter(
-        amounts, lambda a: F.exists(amounts, lambda t: (t < a) & F.exists(amounts, lambda s: F.abs(a + t - s) <= 3) & vat_matches(a, t))
-    )
-    return F.coalesce(F.array_max(triple), F.array_max(amounts))
-
-
-def word_override(number, from_words) -> Column:
-    """Equal length, one differing digit, a 1 read as 7 or the reverse."""
-    a, b = F.split(number.cast("string"), ""), F.split(from_words.cast("string"), "")
-    pairs = F.filter(F.zip_with(a, b, lambda x, y: F.concat(x, y)), lambda p: F.substring(p, 1, 1) != F.substring(p, 2, 1))
-    return (F.size(a) == F.size(b)) & (F.size(pairs) == 1) & F.coalesce(F.get(pairs, 0).isin("17", "71"), F.lit(False))
-
-
-def needs_better(column: str, c, year_now: int) -> Column:
-    """Whether a field should give way to a second reading."""
-    from ..schema import blank_value
-
-    rules = {
-        "pre_tax_amount": F.coalesce(c.cast("bigint") < 100_000, F.lit(True)),
-        "invoice_no": suspicious_number(c.cast("string")),
-        "goods": F.coalesce(c == REVIEW, F.lit(True)),
-        "plate": F.coalesce(c == NO_PLATE, F.lit(True)),
-        "invoice_date": ~F.coalesce(F.regexp_extract(c, "([0-9]{4})$", 1).try_cast("int").between(2020, year_now + 1), F.lit(False)),
-        "buyer_name": F.coalesce(F.length(F.trim(c)) < 4, F.lit(True)),
-    }
-    return rules.get(column, F.lit(False)) | blank_value(c.cast("string"))
-
-
-# fixed values: Vietnamese number words without accents
-DIGIT_WORDS = {"khong": 0, "mot": 1, "hai": 2, "ba": 3, "bon": 4, "tu": 4, "nam": 5, "lam": 5, "sau": 6, "bay": 7, "tam": 8, "chin": 9}
-UNIT_WORDS = {"nghin": 10**3, "ngan": 10**3, "trieu": 10**6, "ty": 10**9, "ti": 10**9}
-
-
-def words_to_number(folded: str | None) -> int | None:
-    """Number words without accents, up to 'dong' → their value; null if there is no number word."""
-    total, block, seen = 0, 0, False
-    for w in re.findall("[a-z]+", (folded or "").lower()):
-        if w == "dong":
-            break
-        if w in UNIT_WORDS:
-            total, block, seen = total + max(block, 1) * UNIT_WORDS[w], 0, True
-        elif w == "tram":
-            block, seen = block * 100, True
-        elif w == "muoi":
-            last = block % 10
-            block, seen = block - last + 10 * max(last, 1), True
-        elif w in DIGIT_WORDS:
-            block, seen = block + DIGIT_WORDS[w], True
-    return total + block if seen else None
-
-
-@F.pandas_udf(LongType())
-def number_words(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in it:
-        yield s.map(words_to_number).astype("Int64")
+__all__ = [
+    "amount", "amount_in_words", "amount_status", "buyer_name", "buyer_tax_id", "clean_plate", "date", "file_number", "goods_class", "goods_name", "header_identity", "invoice_number", "lookup_fields", "needs_better",
+    "normal_series", "pick_pre_tax", "plate", "plate_in", "pre_tax", "series", "suspicious_number", "vat_matches", "word_override", "words_amount", "words_to_number",
+]

@@ -1,7 +1,7 @@
 """The message ledger: an append-only event table folded into its current state.
 
 Events: ``event_seq, ts, message_id, kind, status, subject, mail_date, supplier, reason, files``; kinds are record,
-mark, seed. A message's events are few; they are gathered by message after projection and folded in order.
+mark, seed, file and note. A message's events are few; they are gathered by message after projection and folded in order.
 """
 
 from __future__ import annotations
@@ -12,21 +12,39 @@ from pyspark.sql import functions as F
 from ..schema import DONE, DUPLICATE, FAILED, NO_CODE, PENDING, SKIPPED, nz
 
 RETRY_LIMIT, READ_ERROR_LIMIT, NOT_FOUND_LIMIT = 3, 10, 3
+MARKED_DONE, MARKED_PENDING = "MANUAL_DONE", "MANUAL_PENDING"
 
 
 def fold_events(events: DataFrame) -> DataFrame:
     """Current messages: attempts count records, first_seen stays, blank new fields keep the old, null files keep files and count,
-    status and reason are always replaced; a mark to PENDING resets the attempts; a seed never changes a known message."""
+    status and reason are always replaced; a mark sets its own reason, one to PENDING resets the attempts; a seed never changes a known
+    message. A file event replaces the files, a note the reason, of a known message, and nothing else."""
     e = events.groupBy("message_id").agg(
         F.array_sort(F.collect_list(F.struct("event_seq", "ts", "kind", "status", nz("subject").alias("subject"), nz("mail_date").alias("mail_date"), nz("supplier").alias("supplier"), "reason", "files"))).alias("e")
     )
+    # what comes before the message is known changes nothing
+    known = F.array_position(F.transform("e", lambda x: x["kind"].isin("record", "mark", "seed")), True).cast("int")
+    e = e.where(known > 0).withColumn("e", F.slice("e", known, F.size("e")))
     e = e.withColumn("e", F.filter("e", lambda x, i: (x["kind"] != "seed") | (i == 0)))
-    last = lambda f: F.try_element_at(F.filter(F.transform("e", lambda x: x[f]), lambda x: x.isNotNull()), F.lit(-1))
-    attempts = F.aggregate("e", F.lit(0), lambda n, x: F.when(x["kind"] == "record", n + 1).when((x["kind"] == "mark") & (x["status"] == PENDING), 0).otherwise(n))
-    end = F.element_at("e", -1)
+    e = e.withColumn("s", F.filter("e", lambda x: ~x["kind"].isin("file", "note")))
+    last = lambda f, of: F.try_element_at(F.filter(F.transform(of, lambda x: x[f]), lambda x: x.isNotNull()), F.lit(-1))
+    attempts = F.aggregate("s", F.lit(0), lambda n, x: F.when(x["kind"] == "record", n + 1).when((x["kind"] == "mark") & (x["status"] == PENDING), 0).otherwise(n))
+    why = lambda x: F.when(x["kind"] == "mark", F.when(x["status"] == DONE, MARKED_DONE).otherwise(MARKED_PENDING)).otherwise(x["reason"])
+    reason = F.element_at(F.transform(F.filter("e", lambda x: x["kind"] != "file"), why), -1)
+    end, files = F.element_at("s", -1), F.coalesce(last("files", F.col("e")), F.array().cast("array<string>"))
     return e.select(
-        "message_id", end["status"].alias("status"), last("supplier").alias("supplier"), last("subject").alias("subject"), last("mail_date").alias("mail_date"), end["reason"].alias("reason"),
-        attempts.alias("attempts"), F.coalesce(F.size(last("files")), F.lit(0)).alias("saved_count"), last("files").alias("files"), F.get("e", F.lit(0))["ts"].alias("first_seen"), end["ts"].alias("updated_at"),
+        "message_id", end["status"].alias("status"), last("supplier", F.col("s")).alias("supplier"), last("subject", F.col("s")).alias("subject"), last("mail_date", F.col("s")).alias("mail_date"), reason.alias("reason"),
+        attempts.alias("attempts"), F.size(files).alias("saved_count"), files.alias("files"), F.get("s", F.lit(0))["ts"].alias("first_seen"), end["ts"].alias("updated_at"),
+    )
+
+
+def seed_events(ids: DataFrame, messages: DataFrame, reason: str, first_seq: int, ts: str) -> DataFrame:
+    """Seed events of the ids that no message has yet; their count is the number of rows that a seed adds."""
+    new = ids.select("message_id").distinct().join(messages.select("message_id"), "message_id", "left_anti")
+    none = F.lit(None).cast("string")
+    return new.select(
+        (F.lit(first_seq) + F.monotonically_increasing_id()).alias("event_seq"), F.lit(ts).alias("ts"), "message_id", F.lit("seed").alias("kind"), F.lit(DONE).alias("status"), none.alias("subject"), none.alias("mail_date"),
+        none.alias("supplier"), F.lit(reason).alias("reason"), F.lit(None).cast("array<string>").alias("files"),
     )
 
 
@@ -46,11 +64,14 @@ def lookup_buckets(lookups: DataFrame) -> DataFrame:
 
 
 def latest(messages: DataFrame, limit: int = 5000, status: str | None = None) -> DataFrame:
+    """The newest messages first; a limit of 0 means all."""
     rows = messages.where(F.col("status") == status) if status else messages
-    return rows.orderBy(F.desc("updated_at"), "message_id").limit(max(1, min(limit, 100_000)))
+    rows = rows.orderBy(F.desc("updated_at"), "message_id")
+    return rows.limit(min(limit, 100_000)) if limit > 0 else rows
 
 
 def pending(lookups: DataFrame) -> DataFrame:
+    """Lookups with a code whose file is still to be fetched, given-up ones left out."""
     s = F.coalesce("pdf_status", F.lit(PENDING))
     return lookups.where((F.col("lookup_code") != "") & ~s.isin(DONE, DUPLICATE) & (F.coalesce("pdf_not_found", F.lit(0)) < NOT_FOUND_LIMIT))
 

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..schema import MESSAGES, PENDING
+from ..operators.ledger import MARKED_DONE, MARKED_PENDING
+from ..schema import DONE, MESSAGES, PENDING
 
 EVENTS = "event_seq bigint, ts string, message_id string, kind string, status string, subject string, mail_date string, supplier string, reason string, files array<string>"
 
@@ -19,8 +20,12 @@ def read_events(spark: SparkSession, path: str, files_a_batch: int = 1000) -> Da
 
 def step(now: tuple | None, e) -> tuple:
     """The state after one event, by the rules of ``operators.ledger.fold_events``."""
-    if now is not None and e.kind == "seed":
+    if now is not None and e.kind == "seed" or now is None and e.kind in ("file", "note"):
         return now
+    if e.kind == "file":
+        return (*now[:6], list(e.files), *now[7:])
+    if e.kind == "note":
+        return (*now[:4], e.reason, *now[5:])
     status, supplier, subject, mail_date, reason, attempts, files, first, _ = now or (None, None, None, None, None, 0, None, e.ts, None)
     text = lambda new, old: new.strip(" ") if isinstance(new, str) and new.strip(" ") else old
     if e.kind == "record":
@@ -29,7 +34,8 @@ def step(now: tuple | None, e) -> tuple:
         attempts = 0
     files = files if e.files is None else list(e.files)
     null = lambda v: v if isinstance(v, str) else None
-    return null(e.status), text(e.supplier, supplier), text(e.subject, subject), text(e.mail_date, mail_date), null(e.reason), attempts, files, first, e.ts
+    reason = (MARKED_DONE if e.status == DONE else MARKED_PENDING) if e.kind == "mark" else null(e.reason)
+    return null(e.status), text(e.supplier, supplier), text(e.subject, subject), text(e.mail_date, mail_date), reason, attempts, files if files is not None else [], first, e.ts
 
 
 def current_messages(events: DataFrame) -> DataFrame:
@@ -41,6 +47,8 @@ def current_messages(events: DataFrame) -> DataFrame:
         now = held.get if held.exists else None
         for e in pd.concat(list(batches)).sort_values("event_seq").itertuples():
             now = step(now, e)
+        if now is None:
+            return
         held.update(now)
         status, supplier, subject, mail_date, reason, attempts, files, first, ts = now
         row = (key[0], status, supplier, subject, mail_date, reason, attempts, len(files) if files is not None else 0, files, first, ts)
