@@ -4,16 +4,17 @@ Each source's target is its weight's share of all words, at most ``MOST`` times
 in whole passes and one partial pass over its documents in seeded order. Passes are cut into blocks; the
 exact block quotas of the sources are split among the output shards by a tree whose every node draws the
 left half's quotas from the multivariate hypergeometric law; each shard then owns disjoint stretches of a
-permutation of each source's blocks and orders its rows by a seeded hash.
+permutation of each source's blocks, drawn by a seeded hash, and orders its rows by another. Quotas are split on the driver:
+it holds one row a source, and no other data.
 
 Cases: null and empty texts have size 0 and are taken 0 words; a null source comes last; repeated rows are
 rows of their own; sources without words, and empty tables, have target 0; extra columns are not read by the
-query and pass through ``mix_documents(carry=...)`` untouched.
+query and are kept by the stage, whatever their names.
 """
 
 from __future__ import annotations
 
-import json
+import itertools
 import math
 import random
 
@@ -76,17 +77,11 @@ def split_quotas(blocks: list[int], shards: int, rng: random.Random) -> list[lis
     return split_quotas(mine, left, rng) + split_quotas([a - b for a, b in zip(blocks, mine, strict=True)], shards - left, rng)
 
 
-def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each document: ``doc_id, size, source_size, target, taken``, its ``copies`` (each a ``shard`` and an
-    ``order_key`` within it; none if it is not taken), then the columns to carry."""
-    spark = docs.sparkSession
-    base = docs.select(
-        F.col("doc_id").alias("_id"), common.source_key().alias("src"), F.size(common.words(F.col("text"))).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_key"),
-        F.struct(*carry).alias("_rest") if carry else F.lit(None).cast("int").alias("_rest"),
-    )
-    if not carry:
-        base = common.materialize(base, "sizes")
-    r = common.ranked(base, ["src"], "_key", ["_id", "size"], weight="size")
+def mix_documents(base: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``base(_n, src, size, _key)``, a written table of rows numbered ``_n`` → ``(_n, size, source_size, target, taken)`` for every row, and a row for
+    each copy that the mix takes: ``(_n, shard, order_key)``, the place within a shard being that of the key."""
+    spark = base.sparkSession
+    r = common.ranked(base, ["src"], "_key", ["_n"], weight="size")
     sizes = targets(base.groupBy("src").agg(F.sum("size").alias("source_size")))
     r = r.withColumnRenamed("total", "source_size").join(sizes.drop("source_size"), "src")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -96,40 +91,46 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block
     fits = F.col("before") + F.col("size") <= F.col("left")
     fit = r.groupBy("src").agg(F.first("n").alias("n"), F.first("passes").alias("passes"), F.first("left").alias("left"), F.sum(fits.cast("long")).alias("fit"), F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0)).alias("got"))
     gap = F.abs(F.col("size") - (F.col("left") - F.col("got")))
-    near = r.select("src", "rank", "size").join(F.broadcast(fit) if fit.count() <= 10_000 else fit, "src").where((F.col("rank") > F.col("fit")) & (gap < F.col("left") - F.col("got")))
+    near = r.select("src", "rank", "size").join(fit, "src").where((F.col("rank") > F.col("fit")) & (gap < F.col("left") - F.col("got")))
     near = near.groupBy("src").agg(F.min_by("rank", F.struct(gap, F.col("rank"))).alias("extra"))
     took = fit.join(near, "src", "left").orderBy("src").collect()  # one row a source
-    total = [x.passes * x.n + x.fit + (x.extra is not None) for x in took]
-    quotas = split_quotas([-(-t // block) for t in total], shards, random.Random(seed))
-    plan = []
-    for i, x in enumerate(took):
-        n, ends, end = -(-total[i] // block), [], 0
-        for q in quotas:
-            ends.append(end := end + q[i])
-        step = next(s for s in range(max(1, int(n * 0.618)), 2 * n + 3) if math.gcd(s, n) == 1) if n else 1
-        plan.append({"src": {"none": x.src["none"], "name": x.src["name"]}, "fit": x.fit, "extra": x.extra or 0, "blocks": n, "step": step, "ends": ends})
-    kind = "array<struct<src:struct<none:boolean,name:string>,fit:bigint,extra:bigint,blocks:bigint,step:bigint,ends:array<bigint>>>"
-    plan_rows = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), kind)))
-    r = r.join(F.broadcast(plan_rows) if len(plan) <= 10_000 else plan_rows, "src")
+    blocks = [-(-(x.passes * x.n + x.fit + (x.extra is not None)) // block) for x in took]
+    quotas = split_quotas(blocks, shards, random.Random(seed))
+    ends = [list(itertools.accumulate(q[i] for q in quotas)) for i in range(len(took))]
+    plan = [(x.src["none"], x.src["name"], x.fit, x.extra or 0, n, e) for x, n, e in zip(took, blocks, ends, strict=True)]
+    plan_rows = spark.createDataFrame(plan, "none boolean, name string, fit long, extra long, blocks long, ends array<long>").select(F.struct("none", "name").alias("src"), "fit", "extra", "blocks", "ends")
+    r = r.join(plan_rows, "src")
     times = F.col("passes") + (F.col("rank") <= F.col("fit")).cast("long") + (F.col("rank") == F.col("extra")).cast("long")
-    r = r.withColumn("times", times).withColumn("place", F.least(F.col("rank"), F.col("fit") + 1) - 1)
-    at = lambda p: F.floor((p * F.col("n") + F.when(p < F.col("passes"), F.col("rank") - 1).otherwise(F.col("place"))) / F.lit(block))
-    shard = lambda p: F.size(F.filter("ends", lambda e: e <= F.pmod(at(p) * F.col("step"), F.col("blocks"))))
-    copies = F.transform(F.sequence(F.lit(0), F.col("times") - 1), lambda p: F.struct(shard(p).alias("shard"), F.xxhash64("_key", p, F.lit(seed)).alias("order_key")))
-    empty = F.array().cast("array<struct<shard:int,order_key:bigint>>")
-    return r.select(
-        F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), F.when(F.col("times") > 0, copies).otherwise(empty).alias("copies"),
-        *[F.col("_rest")[c].alias(c) for c in carry],
-    )
+    r = r.withColumn("times", times)
+    # every copy's block of its source; a permutation of a source's blocks, drawn by a seeded hash, gives each shard its own
+    place = F.when(F.col("p") < F.col("passes"), F.col("rank") - 1).otherwise(F.least(F.col("rank"), F.col("fit") + 1) - 1)
+    copies = r.where("times > 0").select("_n", "src", "_key", "rank", "passes", "fit", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("p"))
+    copies = copies.select("_n", "src", F.floor((F.col("p") * F.col("n") + place) / F.lit(block)).alias("block"), F.xxhash64("_key", "p", F.lit(seed)).alias("order_key"))
+    every = plan_rows.where("blocks > 0").select("src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    drawn = common.ranked(every.withColumn("_draw", F.xxhash64("src", "block", F.lit(seed))), ["src"], "_draw", ["block"]).join(plan_rows.select("src", "ends"), "src")
+    drawn = drawn.select("src", "block", F.size(F.filter("ends", lambda e: e < F.col("rank"))).alias("shard"))
+    return r.select("_n", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken")), copies.join(drawn, ["src", "block"]).select("_n", "shard", "order_key")
+
+
+def _base(docs: DataFrame, seed: int = SEED) -> list:
+    return [common.source_key().alias("src"), F.size(common.words(F.col("text"))).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_key")]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_documents(common.read_table(spark, sf_dir, "documents"))
+    """One row for each document, with its ``copies`` (each a ``shard`` and an ``order_key`` within it; none if it is not taken)."""
+    docs = common.read_table(spark, sf_dir, "documents")
+    base = common.materialize(docs.select("doc_id", *_base(docs)).withColumn("_n", F.monotonically_increasing_id()), "sizes")
+    rows, copies = mix_documents(base.drop("doc_id"))
+    own = copies.groupBy("_n").agg(F.sort_array(F.collect_list(F.struct("shard", "order_key"))).alias("copies"))
+    out = base.select("_n", "doc_id").join(rows, "_n").join(own, "_n", "left")
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.coalesce("copies", F.array().cast(own.schema["copies"].dataType)).alias("copies"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes, with the columns of ``docs``."""
+    """A row for each copy that the mix takes, with the columns of ``docs``: partitions hold consecutive stretches of the shards, each in its own order."""
     own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select("doc_id", "text", "source", *[F.col(c).alias(x) for c, x in own.items()])
-    mixed = mix_documents(rows, carry=tuple(own.values()))
-    return mixed.withColumn("_copy", F.explode("copies")).select(*[F.col(x).alias(c) for c, x in own.items()])
+    rows = docs.select(*_base(docs), *[F.col(c).alias(x) for c, x in own.items()]).withColumn("_n", F.monotonically_increasing_id())
+    rows = common.materialize(rows, "rows")
+    _, copies = mix_documents(rows.select("_n", "src", "size", "_key"))
+    out = rows.join(common.materialize(copies, "copies"), "_n")
+    return out.repartitionByRange("shard", "order_key").sortWithinPartitions("shard", "order_key").select(*[F.col(x).alias(c) for c, x in own.items()])
