@@ -1,9 +1,11 @@
 """Secret scans: fixed base patterns, and formats learned by grammar inference.
 
-Labelled credentials, generated by their formats' rules, form a prefix tree of character classes; states whose
-outgoing frequencies agree within Hoeffding bounds are merged (ALERGIA) into a probabilistic automaton. Every
-maximal run of credential characters is a candidate; it is reported if the automaton explains it better than a
-class bigram model of ordinary tokens by ``THRESHOLD`` nats a character, and it overlaps no base span.
+Labelled credentials form a prefix tree of character classes; states whose outgoing frequencies agree within Hoeffding
+bounds are merged (ALERGIA) into a probabilistic automaton. Labelled are values that public formats' rules generate, and
+those that the base patterns find in the corpus, at most ``MAX_LABELLED`` of a kind (of smallest hash): a format that is
+assigned to a secret's name somewhere is so known where it stands alone. Every maximal run of credential characters is a
+candidate; it is reported if the automaton explains it better than a class bigram model of ordinary tokens (generated ones,
+and at most ``MAX_LABELLED`` of the corpus) by ``THRESHOLD`` nats a character, and it overlaps no base span.
 
 Cases: null texts are empty; an empty text has no spans and the hash of the empty string; repeated rows give equal
 rows; texts of any length are scanned whole; an empty table gives no rows; extra columns are not read.
@@ -33,6 +35,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 KINDS = ("assign", "access", "hex", "format")
 
 SEED, SAMPLES, ALPHA, THRESHOLD = 10, 40, 0.05, 0.5
+#: Labelled values of a kind, and ordinary tokens, that are learned from the corpus, at most.
+MAX_LABELLED = 200
+LEAST = 16
 UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
 #: Formats as (prefix, alphabet, lengths of the rest); the labelled credentials are drawn from them.
 FORMATS = (
@@ -168,8 +173,9 @@ class Automaton:
 
 
 @functools.lru_cache(maxsize=4)
-def model(seed: int = SEED, samples: int = SAMPLES) -> tuple[Automaton, dict]:
+def model(seed: int = SEED, samples: int = SAMPLES, found: tuple[str, ...] = (), ordinary: tuple[str, ...] = ()) -> tuple[Automaton, dict]:
     good, bad = labelled(seed, samples)
+    good, bad = [*good, *found], [*bad, *ordinary]
     pairs: dict[str, Counter] = defaultdict(Counter)
     for t in bad:
         c = "^" + "".join(map(char_class, t)) + "$"
@@ -208,9 +214,26 @@ def scan(text: str, automaton: Automaton, plain: dict, threshold: float = THRESH
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def corpus_labels(docs: DataFrame, most: int = MAX_LABELLED) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Values of base spans and ordinary tokens of all documents, at most ``most`` of each kind, by smallest hash."""
+    kinds = {"assign": (ASSIGN.pattern, 2, "(?i)"), "access": (ACCESS.pattern, 0, ""), "hex": (HEX.pattern, 0, ""), "token": (RUN.pattern, 0, "")}
+    all_of = lambda k: F.transform(F.regexp_extract_all("text", F.lit(kinds[k][2] + kinds[k][0]), F.lit(kinds[k][1])), lambda v: F.struct(F.lit(k).alias("kind"), F.regexp_replace(v, "[.=-]+$", "").alias("v")))
+    some = docs.where(F.col("text").rlike(RUN.pattern)).select(F.inline(F.concat(*map(all_of, kinds)))).where(F.length("v") >= LEAST)
+    base = F.col("v").rlike(f"{ACCESS.pattern}|{HEX.pattern}|(?i)(?:password|passwd|secret|token|api_?key)=")
+    some = some.where((F.col("kind") != "token") | ~base).groupBy("kind", "v").agg(F.count("*").alias("n"))
+    # a token that some label names is no ordinary one
+    some = common.materialize(some, "tokens")
+    named = some.where("kind <> 'token'").select("v").distinct()
+    pick = lambda d: [r.v for r in d.orderBy(F.xxhash64("v"), "v").limit(most).select("v").collect()]
+    found = [v for k in ("assign", "access", "hex") for v in pick(some.where(F.col("kind") == k))]
+    ordinary = pick(some.where("kind = 'token'").join(named, "v", "left_anti"))
+    common.discard(some)
+    return tuple(found), tuple(t for t in ordinary if all(c in "0123456789+/_.=-" or c.isascii() and c.isalpha() for c in t))
+
+
 def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, counts a kind, the base spans and all spans as ``kind:start:end`` joined by commas."""
-    automaton, plain = model()
+    automaton, plain = model(SEED, SAMPLES, *corpus_labels(docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -4,7 +4,8 @@ Words are runs of letters and digits, lower-cased. Places where a text may hold
 template's words of KEY letters or more (all its words, if it has none): each occurrence votes for a start, and close
 starts are one window. A window and the template are aligned on the words unique to both, along their longest
 increasing subsequence, and recursively in the gaps. Coverage is the share of template words aligned; spans of
-COVERAGE or more are reported. Only texts with a template's key word are looked at, as no other can reach it.
+COVERAGE or more are reported. Only texts with one of the ``gate`` words are aligned: words that make up more of every template
+than may be missing, so that no other text can reach the coverage; the JVM tells them apart.
 
 Cases: null and empty texts hold no license; repeated rows give equal rows; overlapping finds of one template keep
 the best, then the first; texts of any length are scanned whole; an empty table gives no rows; extra columns are not read.
@@ -38,6 +39,22 @@ TEMPLATES = {
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mit-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+    "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above "
+    "copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES "
+    "OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+    "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+    "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+    "THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
@@ -96,12 +113,25 @@ class Scanner:
             for i, x in enumerate(w):
                 if x in long:
                     self.keys[x].append((n, i))
-        self.any = re.compile("|".join(map(re.escape, sorted(self.keys, key=len, reverse=True))), re.IGNORECASE)
+        self.gate = self._gate()
+
+    def _gate(self) -> list[str]:
+        """Words of which each template holds more than it may lack, found greedily: the one that helps most first, longer ones before shorter."""
+        need = {n: int((1 - self.coverage) * len(w) + 1e-9) + 1 for n, w in self.words.items()}
+        left, out = {n: Counter(w) for n, w in self.words.items()}, []
+        while any(v > 0 for v in need.values()):
+            gain: Counter = Counter()
+            for n, c in left.items():
+                for w, k in c.items():
+                    gain[w] += min(k, max(need[n], 0)) * (len(w) >= KEY or all(len(x) < KEY for x in c))
+            best = max(gain, key=lambda w: (gain[w], len(w), w))
+            out.append(best)
+            for n, c in left.items():
+                need[n] -= c.pop(best, 0)
+        return out
 
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
         """(license, start, end, coverage) in code points."""
-        if not self.any.search(text):
-            return []
         found = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
         starts: dict[str, list[int]] = defaultdict(list)
         for p, (w, _, _) in enumerate(found):
@@ -143,7 +173,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
             })
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {ids}, n_licenses long, licenses array<string>, spans array<struct<license:string,start:int,end:int,coverage:double>>")
+    # a text without a gate word goes to Python as null
+    gated = F.when(F.lower("text").rlike("|".join(map(re.escape, scanner.gate))), F.col("text")).alias("text") if scanner.gate else F.lit(None).cast("string").alias("text")
+    return docs.select("doc_id", gated).mapInPandas(run, f"doc_id {ids}, n_licenses long, licenses array<string>, spans array<struct<license:string,start:int,end:int,coverage:double>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

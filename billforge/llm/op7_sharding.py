@@ -6,7 +6,7 @@ into shards whose row counts differ by one at most (law ``rows``).
 
 Cases: null texts have size 1 and CRC-32 zero, as empty ones; a null source is a stratum of its own; rows that
 are equal in id and text take neighbouring places, whichever comes first; an empty table gives no rows; extra
-columns are not read by the query and pass through ``shard_documents(carry=...)`` untouched.
+columns are not read by the query. The stage returns them too; one that has a result's name comes back as ``doc_`` and the name.
 """
 
 from __future__ import annotations
@@ -48,6 +48,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(common.read_table(spark, sf_dir, "documents"))
 
 
+RESULTS = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
-    return shard_documents(docs, carry=rest)
+    """The rows of ``query`` with the other columns of ``docs``."""
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select("doc_id", "text", "source", *[F.col(c).alias(x) for c, x in own.items()])
+    taken = set(RESULTS) | set(docs.columns)
+    names = {}
+    for c in docs.columns:
+        if c != "doc_id":
+            name = c
+            while name in RESULTS or (name != c and name in taken):
+                name = f"doc_{name}"
+            taken.add(name)
+            names[c] = name
+    out = shard_documents(rows, carry=tuple(own[c] for c in names))
+    return out.select(*RESULTS, *[F.col(own[c]).alias(x) for c, x in names.items()])

@@ -304,3 +304,144 @@ def test_groups_lose_no_link(spark, groups):
         for b in fps:
             if a < b and (a ^ b).bit_count() <= 3:
                 assert got[a] == got[b]
+
+
+def test_license_query_against_edits(spark):
+    """Templates with a tenth of their words changed are found, with a fifth are not; texts without gate words hold none."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for i, (name, t) in enumerate(sorted(o6.TEMPLATES.items())):
+        w = o6.WORD.findall(t)
+        for j, share in enumerate((0.0, 0.09, 0.2, 0.35)):
+            e = list(w)
+            for at in rng.sample(range(len(w)), int(share * len(w) + (1 if share >= 0.2 else 0))):
+                e[at] = f"zz{rng.random()}".replace(".", "")
+            rows.append((10 * i + j, f"{' '.join(rng.choices(WORDS, k=30))} {' '.join(e)} {' '.join(rng.choices(WORDS, k=30))}"))
+            want[10 * i + j] = name if share < 0.1 else None
+    rows += [(9000, None), (9001, ""), (9002, " ".join(rng.choices(WORDS, k=5000)))]
+    got = {r.doc_id: r for r in o6.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, name in want.items():
+        assert (name in got[k].licenses) if name else sorted(o6.TEMPLATES)[k // 10] not in got[k].licenses
+    assert not any(got[k].n_licenses for k in (9000, 9001, 9002))
+    text = dict(rows)
+    for k in want:
+        for s in got[k].spans:
+            assert len(o6.patience(o6.WORD.findall(o6.TEMPLATES[s.license].lower()), o6.WORD.findall(text[k][s.start : s.end].lower()))) >= 0.9 * len(o6.WORD.findall(o6.TEMPLATES[s.license])) - 1e-9
+
+
+def test_sharding_against_brute_force(spark, folder, rows):
+    """Sizes, CRC, fractional ranks: every stretch of the order holds the sources in their shares."""
+    import zlib
+
+    got = sorted(o7.query(spark, folder).collect(), key=lambda r: (r.shard, r.slot))
+    data = {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())): s for i, t, s in rows}
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    n = collections.Counter(s for _, _, s in rows)
+    seen, at = collections.Counter(), []
+    for r in got:
+        s = data[r.doc_id, r.size, r.text_crc32]
+        seen[s] += 1
+        at.append((2 * seen[s] - 1) / (2 * n[s]))
+    assert at == sorted(at)
+
+
+def test_stages_keep_columns_with_clashing_names(spark, folder):
+    """Names that the operators use themselves, null ids and repeated rows."""
+    rng = random.Random(3)
+    names = ["_key", "_n", "_row", "key", "id", "component", "size", "shard", "slot", "law", "text_crc32", "grown_shard", "src", "target", "copies", "fp", "_id", "kept", "score", "good", "_h", "base_failed"]
+    texts = [" ".join(rng.choices(WORDS, k=80)) for _ in range(8)]
+    rows = [(None if i % 3 == 0 else i, texts[i % 8] if i < 10 else None, f"s{i % 2}", *[f"{c}{i}" for c in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    for o in (o2, o3, o4, o9):
+        out = o.stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert set(map(tuple, out.collect())) <= set(rows)
+    out = o7.stage(spark, docs, folder)
+    assert out.count() == 12 and {"doc_size", "doc_shard", "doc_slot", "doc_law", "doc_text_crc32", "doc_grown_shard", "_key"} <= set(out.columns)
+    assert sorted(r.doc_size for r in out.collect()) == sorted(r[3 + names.index("size")] for r in rows)
+
+
+def test_mixing_comes_near_its_targets(spark, folder, rows):
+    got = o9.query(spark, folder).toPandas()
+    source = {i: s for i, _, s in rows}
+    got["source"] = got.doc_id.map(source)
+    for _, g in got.fillna({"source": "-"}).groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max()
+    assert (got.taken == got["size"] * got.copies.map(len)).where(got["size"] > 0).dropna().all()
+    blocks, quotas = [40, 3, 0, 77], o9.split_quotas([40, 3, 0, 77], 16, random.Random(2))
+    assert [sum(q[i] for q in quotas) for i in range(4)] == blocks and max(map(sum, quotas)) - min(map(sum, quotas)) <= 4
+
+
+def test_secrets_query_against_base_patterns(spark):
+    """Base spans as ``re`` finds them; formats that the corpus labels, and public ones, are found alone; ordinary tokens are not."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    fresh = lambda: "tk-" + "".join(rng.choices("0123456789", k=6)) + "-" + "".join(rng.choices(letters.upper() + "0123456789", k=20))
+    public = lambda: "ghp_" + "".join(rng.choices(letters + letters.upper() + "0123456789", k=36))
+    plain = lambda: "".join(rng.choices(letters, k=rng.randint(16, 24)))
+    rows = [(i, f"set token = '{fresh()}' PASSWORD: \"{plain()}\" é AKIA{''.join(rng.choices('ABCXYZ0123', k=rng.randint(8, 20)))} {rng.getrandbits(160):040x}") for i in range(120)]
+    rows += [(200 + i, f"é see {fresh()} there") for i in range(40)] + [(300 + i, f"é see {public()} there") for i in range(40)] + [(400 + i, f"see {plain()}-{plain()} and {plain()}.") for i in range(200)] + [(900, None), (901, "")]
+    got = {r.doc_id: r for r in o10.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        base = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or "", re.I) if len(m[1]) >= 8]
+        base += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 16] + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 32]
+        assert got[i].base == ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(base, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0]))))
+    assert sum(got[200 + i].n_format for i in range(40)) >= 36 and sum(got[300 + i].n_format for i in range(40)) >= 36
+    assert sum(got[400 + i].n_format for i in range(200)) <= 4
+
+
+def test_quality_scores_against_brute_force(spark, folder, rows):
+    """Scores of a table recomputed from its words' hashes: held-out counts by fold, mean of log ratios."""
+    import math
+
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows if i != 3], "_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(0, 30)], "doc_id long, quality int, toxic int")
+    d, out = o2.judge(docs, labels)
+    words = {r._id: (r._fold, r._h) for r in d.collect()}
+    got = {r.doc_id: r.score for r in out.collect()}
+    m = o2.MIN_BUCKETS - 1
+    pairs = {(a, b) for _, h in words.values() for a, b in zip(h, h[1:], strict=False)}
+    hashed = dict(zip(pairs, [r.x for r in spark.createDataFrame([(a, b) for a, b in pairs], "a int, b int").select(F.hash("a", "b").alias("x")).collect()], strict=True))
+    grams = {i: [x & m for x in h] + [hashed[p] & m for p in zip(h, h[1:], strict=False)] for i, (_, h) in words.items()}
+    for k in range(o2.FOLDS):
+        raw, good = collections.Counter(), collections.Counter()
+        for i, g in grams.items():
+            if words[i][0] != k:
+                raw.update(g)
+                good.update(g if i % 2 and i < 30 else [])
+        nr, ng = sum(raw.values()), sum(good.values())
+        for i, g in grams.items():
+            if words[i][0] == k and g:
+                want = sum(math.log((good[x] + 1) / (ng + m + 1)) - math.log((raw[x] + 1) / (nr + m + 1)) for x in g) / len(g)
+                assert abs(got[i] - want) < 1e-9
+
+
+def test_decontamination_against_all_windows(spark):
+    """Items planted with edits, against every window of a document."""
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choices(WORDS, k=rng.randint(14, 40)))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        w = items[i % 12][1].split()
+        for at in (0, -1, 1, -2)[: i // 12]:
+            w[at] = f"new{rng.random()}"
+        docs.append((i, " ".join(rng.choices(WORDS, k=rng.randint(0, 60)) + w + rng.choices(WORDS, k=rng.randint(0, 60)))))
+
+    def shingles(w):
+        return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    want = {}
+    for i, t in docs:
+        w, hit = split(t), []
+        for k, x in items:
+            a = shingles(split(x))
+            n = len(split(x))
+            best = max((sum((a & b).values()) / sum((a | b).values()) for b in (shingles(w[s : s + n]) for s in range(max(1, len(w) - n + 1)))), default=0)
+            hit += [k] if best >= 0.8 else []
+        want[i] = hit
+    frame = lambda r, c: spark.createDataFrame(r, f"{c} long, text string")
+    got = {r.doc_id: r.item_ids for r in o3.decontaminate(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == want and sum(map(len, want.values())) >= 24
+    text_ids = spark.createDataFrame([(f"q{k}", x) for k, x in items], "item_id string, text string")
+    assert {r.doc_id: r.item_ids for r in o3.decontaminate(frame(docs, "doc_id"), text_ids).collect()} == {i: sorted(f"q{k}" for k in v) for i, v in want.items()}
