@@ -1,33 +1,79 @@
-"""``python -m billforge ROOT {ledger,lookups,status,report,pending,export} [--limit N] [--status S] [--out FILE.xlsx]``"""
+"""``python -m billforge ROOT ACTION [KEY ...]``: reads and changes a ledger.
+
+Readers: ledger, lookups, status, report, pending, unsynced, export, csv, verify, search. Changes: mark-done, mark-pending, seed,
+mark-downloaded, reset, dedupe. ``--out`` writes a workbook instead of showing rows."""
 
 from __future__ import annotations
 
 import argparse
+from datetime import datetime
 
 from pyspark.sql import SparkSession
 
 from .api import Engine
+from .operators import lookups, work
+from .schema import DONE, PENDING
 from .sources.workbook import write_workbook
 
 SHOWN = 5000
+READERS = ("ledger", "lookups", "status", "report", "pending", "unsynced", "export", "csv", "verify", "search")
+CHANGES = ("mark-done", "mark-pending", "seed", "mark-downloaded", "reset", "dedupe")
 
 
-def main(argv: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(prog="billforge")
+def parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="billforge", description=__doc__)
     p.add_argument("root")
-    p.add_argument("action", choices=["ledger", "lookups", "status", "report", "pending", "export"])
-    p.add_argument("--limit", type=int, default=SHOWN)
-    p.add_argument("--status")
-    p.add_argument("--out", help="a workbook to write")
-    a = p.parse_args(argv)
-    e = Engine(SparkSession.builder.appName("billforge").getOrCreate(), a.root)
-    rows = {
-        "ledger": lambda: e.ledger(a.limit, a.status), "lookups": e.lookup_invoices, "status": e.status, "report": e.report, "pending": e.pending, "export": e.lookup_export,
+    p.add_argument("action", choices=[*READERS, *CHANGES])
+    p.add_argument("keys", nargs="*", help="message ids, or codes of lookups")
+    g = p.add_argument_group("rows")
+    g.add_argument("--limit", type=int, default=SHOWN, help="0 for all")
+    g.add_argument("--status", help="of messages")
+    g.add_argument("--duplicates", action="store_true", help="lookups with duplicates")
+    g.add_argument("--out", help="a workbook to write")
+    g = p.add_argument_group("source")
+    g.add_argument("--source", default="inbox", choices=["inbox", "all", "label"])
+    g.add_argument("--query", default="", help="more search terms")
+    g.add_argument("--since", help="first day")
+    g.add_argument("--until", help="last day")
+    g = p.add_argument_group("checks")
+    g.add_argument("--folder", help="of fetched files, for verify")
+    g.add_argument("--fix", action="store_true", help="mark messages that lack a file as PENDING")
+    g.add_argument("--reason", default="SEED")
+    g.add_argument("--at", default=datetime.now().isoformat(timespec="seconds"), help="the time of a change")
+    return p
+
+
+def change(e: Engine, a: argparse.Namespace) -> int:
+    return {
+        "mark-done": lambda: e.mark(a.keys, DONE, a.at), "mark-pending": lambda: e.mark(a.keys, PENDING, a.at), "seed": lambda: e.seed(a.keys, a.reason, a.at),
+        "mark-downloaded": lambda: e.mark_downloaded(a.keys or None, a.at), "reset": lambda: e.reset_not_found(a.keys, a.at), "dedupe": lambda: e.dedupe(a.at).first()["new"],
     }[a.action]()
+
+
+def main(argv: list[str] | None = None) -> None:
+    a = parser().parse_args(argv)
+    if a.action == "search":
+        print(work.search_query(a.source, a.query, a.since, a.until) or "")
+        return
+    e = Engine(SparkSession.builder.appName("billforge").getOrCreate(), a.root)
+    if a.action in CHANGES:
+        print(change(e, a), "changed")
+        return
+    if a.action == "verify":
+        rows = e.verify(a.folder)
+        lookups.verify_summary(rows).show()
+        rows = rows.where("size(missing) > 0")
+        if a.fix:
+            print(e.mark([r.message_id for r in rows.collect()], PENDING, a.at), "marked")
+    else:
+        rows = {
+            "ledger": lambda: e.ledger(a.limit, a.status), "lookups": lambda: e.lookup_invoices(a.duplicates), "status": e.status, "report": e.report, "pending": e.pending, "unsynced": e.unsynced,
+            "export": e.lookup_export, "csv": e.csv_rows,
+        }[a.action]()
     if a.out:
         print(write_workbook(rows, a.out, a.action), "rows")
     else:
-        rows.show(a.limit, truncate=False)
+        rows.show(a.limit or SHOWN, truncate=False)
 
 
 if __name__ == "__main__":

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import ledger, reports, xmlrows
-from .schema import DUPLICATE, LOOKUPS, PENDING, nz
+from .operators import ledger, lookups, reconcile, reports, work, xmlrows
+from .schema import DONE, DUPLICATE, LOOKUPS, PENDING, nz
 from .sources import files, messages, workbook
 
 MAX_IMPORT = 2000
 
 
 class Engine:
-    """``root`` holds ``events`` and ``lookups`` as Parquet; absent tables are empty."""
+    """``root`` holds ``events`` and ``lookup_events`` as Parquet (or, read only, ``lookups``); absent tables are empty. All changes are appended
+    as events, so every state can be folded again."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -29,30 +30,115 @@ class Engine:
 
         return self._table("events", EVENTS)
 
+    def lookup_events(self) -> DataFrame:
+        return self._table("lookup_events", lookups.EVENTS)
+
     def messages(self) -> DataFrame:
-        return ledger.fold_events(self.events())
+        """Current messages; files that lookups fetched are theirs."""
+        return ledger.fold_events(self.events().unionByName(lookups.file_events(self.lookup_events())))
+
+    def lookups(self) -> DataFrame:
+        """Current lookups; messages that are to be done again fetch theirs again."""
+        folded = lookups.fold_lookups(self.lookup_events().unionByName(lookups.rearm_events(self.events())))
+        known = self._table("lookups", LOOKUPS)
+        return folded.unionByName(known.join(folded.select("message_id"), "message_id", "left_anti"))
+
+    # ---- changes
+    def _next_seq(self) -> int:
+        top = [t.agg(F.max("event_seq")).first()[0] or 0 for t in (self.events(), self.lookup_events())]
+        return max(top) + 1
+
+    def _append(self, rows: DataFrame, name: str, ts: str) -> int:
+        """Events without number or time get them, in order of message; their count."""
+        first = self._next_seq()
+        out = reconcile.continue_sequence(rows.drop("event_seq", "ts"), first - 1, ["message_id"]).withColumnRenamed("seq", "event_seq").withColumn("ts", F.lit(ts))
+        n = out.count()
+        if n:
+            cols = self.events().columns if name == "events" else self.lookup_events().columns
+            out.select(*cols).write.mode("append").parquet(f"{self.root}/{name}")
+        return n
+
+    def mark(self, ids: list[str], status: str, ts: str) -> int:
+        """Messages marked by hand as DONE or PENDING."""
+        if status not in (DONE, PENDING):
+            raise ValueError("a mark is DONE or PENDING")
+        rows = self.spark.createDataFrame([(i,) for i in ids], "message_id string")
+        return self._append(self._message_rows(rows, "mark", F.lit(status)), "events", ts)
+
+    def seed(self, ids: list[str], reason: str, ts: str) -> int:
+        """Ids that the ledger lacks, added as DONE; how many."""
+        rows = self.spark.createDataFrame([(i,) for i in ids], "message_id string")
+        return self._append(ledger.seed_events(rows, self.messages(), reason, 0, ts), "events", ts)
+
+    def _message_rows(self, rows: DataFrame, kind: str, status) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return rows.select("message_id", F.lit(kind).alias("kind"), status.alias("status"), none.alias("subject"), none.alias("mail_date"), none.alias("supplier"), none.alias("reason"), F.lit(None).cast("array<string>").alias("files"))
+
+    def _lookup_change(self, rows: DataFrame, kind: str, ts: str) -> int:
+        n = F.lit(0).cast("bigint")
+        return self._append(lookups.lookup_events(rows.withColumns({"event_seq": n, "ts": F.lit(ts)}), kind), "lookup_events", ts)
+
+    def mark_downloaded(self, keys: list[str] | None, ts: str) -> int:
+        """Pending lookups, of these ids or codes, fetched by hand."""
+        k = self.spark.createDataFrame([(x,) for x in keys], "key string") if keys else None
+        return self._lookup_change(lookups.downloaded_by_hand(self.lookups(), k), "downloaded", ts)
+
+    def mark_synced(self, ids: DataFrame, ts: str) -> int:
+        return self._lookup_change(ids.select("message_id"), "synced", ts)
+
+    def reset_not_found(self, ids: list[str], ts: str) -> int:
+        return self._lookup_change(self.spark.createDataFrame([(i,) for i in ids], "message_id string"), "reset", ts)
+
+    def dedupe(self, ts: str, master: DataFrame | None = None) -> DataFrame:
+        """Marks duplicate lookups and frees former ones; one row: duplicates in all, and new ones."""
+        m = lookups.mark_duplicates(self.lookups(), master)
+        counts = lookups.duplicate_counts(m).first()
+        # what is appended changes what is folded: the changes are gathered first, as events of both tables
+        n = F.lit(0).cast("bigint")
+        changed = m.where("change is not null").withColumns({"event_seq": n, "ts": F.lit(ts)})
+        events = lookups.lookup_events(changed.where("change <> 'freed'").select("event_seq", "ts", "message_id", "dup_of"), "duplicate").unionByName(lookups.lookup_events(changed.where("change = 'freed'").select("event_seq", "ts", "message_id"), "original"))
+        notes = m.where("note is not null and change is not null").select("message_id", "note")
+        self._append(self._message_rows(notes, "note", F.lit(None).cast("string")).drop("reason").join(notes.withColumnRenamed("note", "reason"), "message_id"), "events", ts)
+        self._append(events, "lookup_events", ts)
+        return self.spark.createDataFrame([tuple(counts)], "total long, new long")
+
+    def verify(self, folder: str) -> DataFrame:
+        """Done messages and the files that the folder lacks."""
+        return lookups.verify(self.messages(), files.inventory(self.spark, folder).select("name"))
+
+    def merge_xml(self, results: DataFrame, path: str) -> DataFrame:
+        """Result rows with the invoices of XML files below a path merged in."""
+        new = self.invoices(path)
+        fields = tuple(c for c in new.columns if c in results.columns)
+        return reconcile.merge_xml(results.withColumn("_row", F.monotonically_increasing_id()), new.withColumn("_row", F.monotonically_increasing_id()), "_row", fields)
+
+    def unsynced(self) -> DataFrame:
+        return lookups.unsynced(self.lookups())
+
+    def csv_rows(self) -> DataFrame:
+        return work.ledger_csv(self.messages())
 
     def lookup_invoices(self, duplicates: bool = False) -> DataFrame:
-        rows = self._table("lookups", LOOKUPS)
+        rows = self.lookups()
         rows = rows if duplicates else rows.where(F.coalesce("pdf_status", F.lit(PENDING)) != DUPLICATE)
         return rows.orderBy(F.desc(F.coalesce("mail_date", F.lit(""))), "message_id")
 
     def ledger(self, limit: int = 5000, status: str | None = None) -> DataFrame:
         """The newest messages, each with its lookup as a struct."""
-        k = self._table("lookups", LOOKUPS).select("message_id", F.struct("invoice_no", "lookup_code", "pdf_status", "pdf_file").alias("lookup"))
+        k = self.lookups().select("message_id", F.struct("invoice_no", "lookup_code", "pdf_status", "pdf_file").alias("lookup"))
         return ledger.latest(ledger.latest(self.messages(), limit, status).join(k, "message_id", "left"), limit)
 
     def status(self) -> DataFrame:
-        return reports.status_card(self.messages(), self._table("lookups", LOOKUPS))
+        return reports.status_card(self.messages(), self.lookups())
 
     def report(self) -> DataFrame:
         return reports.ledger_report(self.messages())
 
     def pending(self) -> DataFrame:
-        return ledger.pending(self._table("lookups", LOOKUPS))
+        return ledger.pending(self.lookups())
 
     def lookup_export(self) -> DataFrame:
-        return reports.lookup_export(self._table("lookups", LOOKUPS))
+        return reports.lookup_export(self.lookups())
 
     def scan(self, path: str, supported: list[str], keywords: list[str]) -> DataFrame:
         return messages.scan(messages.read_messages(self.spark, path), supported, keywords)
@@ -76,5 +162,5 @@ class Engine:
         if len(codes) > MAX_IMPORT:
             raise ValueError(f"at most {MAX_IMPORT} codes at once")
         new = self.spark.createDataFrame(codes, "code string, number string").select(norm_code(F.col("code")).alias("code"), norm_number(F.col("number")).alias("number")).distinct()
-        old = self._table("lookups", LOOKUPS).select(norm_code(F.col("lookup_code")).alias("code")).join(F.broadcast(new.select("code")), "code", "left_semi").distinct().withColumn("_old", F.lit(True))
+        old = self.lookups().select(norm_code(F.col("lookup_code")).alias("code")).join(F.broadcast(new.select("code")), "code", "left_semi").distinct().withColumn("_old", F.lit(True))
         return new.join(old, "code", "left").select("code", "number", F.when(~F.rlike("code", F.lit("^[A-Z0-9]{4,32}$")), "invalid").when(F.col("_old"), "existed").otherwise("added").alias("state"))

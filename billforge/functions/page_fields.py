@@ -193,7 +193,7 @@ def plate_with_alias(current, alias) -> Column:
 def plates_differ_ef(current, other) -> Column:
     """Two plates of which one has an E where the other has an F."""
     a, b = clean_plate(current), clean_plate(other)
-    off = F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), F.concat), lambda p: F.substring(p, 1, 1) != F.substring(p, 2, 1))
+    off = F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.concat(x, y)), lambda p: F.substring(p, 1, 1) != F.substring(p, 2, 1))
     return (a != NO_PLATE) & (b != NO_PLATE) & (F.length(a) == F.length(b)) & (F.size(off) == 1) & F.coalesce(F.get(off, F.lit(0)).isin("EF", "FE"), F.lit(False))
 
 
