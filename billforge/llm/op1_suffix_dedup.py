@@ -332,3 +332,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(common.read_table(spark, sf_dir, "documents"))
     removed = (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")
     return out.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All strings of LENGTH bytes, counted; runs of those found twice, merged.
+SQL = """
+with d as (select doc_id, row_number() over () rid, encode(coalesce(text, '')) t, octet_length(encode(coalesce(text, ''))) n from documents),
+w as (select rid, i, md5(t[i + 1 : i + 200]) k from (select rid, t, unnest(range(n - 199)) i from d where n >= 200)),
+hit as (select rid, i, i - lag(i) over (partition by rid order by i) > 200 fresh from w where k in (select k from w group by k having count(*) > 1)),
+run as (select rid, min(i) b, max(i) + 200 e from (select rid, i, sum(coalesce(fresh, true)::int) over (partition by rid order by i) g from hit) group by rid, g),
+cut as (select rid, b, e, coalesce(lag(e) over (partition by rid order by b), 0) p from run),
+r as (select rid, sum(e - b) removed, count(*) spans, max(e) last, string_agg(hex(t[p + 1 : b]), '' order by b) h from cut join d using (rid) group by rid)
+select doc_id, cast(n as bigint) n_bytes, cast(coalesce(removed, 0) as bigint) n_removed, cast(coalesce(spans, 0) as bigint) n_spans, sha256(unhex(coalesce(h, '') || hex(t[coalesce(last, 0) + 1 : n]))) kept_sha256 from d left join r using (rid)
+"""

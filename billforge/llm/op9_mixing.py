@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS, MOST, SHARDS, SEED, BLOCK = (1, 2, 3), 3, 16, 9, 64
+#: Sources up to which a table of one row a source is broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 10_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -82,8 +84,10 @@ def mix_documents(base: DataFrame, shards: int = SHARDS, seed: int = SEED, block
     each copy that the mix takes: ``(_n, shard, order_key)``, the place within a shard being that of the key."""
     spark = base.sparkSession
     r = common.ranked(base, ["src"], "_key", ["_n"], weight="size")
-    sizes = targets(base.groupBy("src").agg(F.sum("size").alias("source_size")))
-    r = r.withColumnRenamed("total", "source_size").join(sizes.drop("source_size"), "src")
+    sizes = common.materialize(targets(base.groupBy("src").agg(F.sum("size").alias("source_size"))), "sources")
+    small = sizes.count() <= BROADCAST_ROWS
+    few = lambda d: F.broadcast(d) if small else d
+    r = r.withColumnRenamed("total", "source_size").join(few(sizes.drop("source_size")), "src")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     r = common.materialize(r.withColumn("passes", passes).withColumn("left", F.col("target") - passes * F.col("source_size")), "mix")
 
@@ -91,7 +95,7 @@ def mix_documents(base: DataFrame, shards: int = SHARDS, seed: int = SEED, block
     fits = F.col("before") + F.col("size") <= F.col("left")
     fit = r.groupBy("src").agg(F.first("n").alias("n"), F.first("passes").alias("passes"), F.first("left").alias("left"), F.sum(fits.cast("long")).alias("fit"), F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0)).alias("got"))
     gap = F.abs(F.col("size") - (F.col("left") - F.col("got")))
-    near = r.select("src", "rank", "size").join(fit, "src").where((F.col("rank") > F.col("fit")) & (gap < F.col("left") - F.col("got")))
+    near = r.select("src", "rank", "size").join(few(fit), "src").where((F.col("rank") > F.col("fit")) & (gap < F.col("left") - F.col("got")))
     near = near.groupBy("src").agg(F.min_by("rank", F.struct(gap, F.col("rank"))).alias("extra"))
     took = fit.join(near, "src", "left").orderBy("src").collect()  # one row a source
     blocks = [-(-(x.passes * x.n + x.fit + (x.extra is not None)) // block) for x in took]
@@ -99,7 +103,7 @@ def mix_documents(base: DataFrame, shards: int = SHARDS, seed: int = SEED, block
     ends = [list(itertools.accumulate(q[i] for q in quotas)) for i in range(len(took))]
     plan = [(x.src["none"], x.src["name"], x.fit, x.extra or 0, n, e) for x, n, e in zip(took, blocks, ends, strict=True)]
     plan_rows = spark.createDataFrame(plan, "none boolean, name string, fit long, extra long, blocks long, ends array<long>").select(F.struct("none", "name").alias("src"), "fit", "extra", "blocks", "ends")
-    r = r.join(plan_rows, "src")
+    r = r.join(few(plan_rows), "src")
     times = F.col("passes") + (F.col("rank") <= F.col("fit")).cast("long") + (F.col("rank") == F.col("extra")).cast("long")
     r = r.withColumn("times", times)
     # every copy's block of its source; a permutation of a source's blocks, drawn by a seeded hash, gives each shard its own
@@ -107,7 +111,7 @@ def mix_documents(base: DataFrame, shards: int = SHARDS, seed: int = SEED, block
     copies = r.where("times > 0").select("_n", "src", "_key", "rank", "passes", "fit", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("p"))
     copies = copies.select("_n", "src", F.floor((F.col("p") * F.col("n") + place) / F.lit(block)).alias("block"), F.xxhash64("_key", "p", F.lit(seed)).alias("order_key"))
     every = plan_rows.where("blocks > 0").select("src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    drawn = common.ranked(every.withColumn("_draw", F.xxhash64("src", "block", F.lit(seed))), ["src"], "_draw", ["block"]).join(plan_rows.select("src", "ends"), "src")
+    drawn = common.ranked(every.withColumn("_draw", F.xxhash64("src", "block", F.lit(seed))), ["src"], "_draw", ["block"]).join(few(plan_rows.select("src", "ends")), "src")
     drawn = drawn.select("src", "block", F.size(F.filter("ends", lambda e: e < F.col("rank"))).alias("shard"))
     return r.select("_n", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken")), copies.join(drawn, ["src", "block"]).select("_n", "shard", "order_key")
 
