@@ -56,7 +56,7 @@ def wildcard_semi(rows: DataFrame, known: DataFrame, code: str = "code", number:
 
 
 def identical(files: DataFrame, content: str, id_col: str) -> DataFrame:
-    """Byte-identical files: the smallest id of each content stays. Sizes are compared before hashes."""
+    """Byte-identical files by size and hash: the smallest id of each content stays."""
     f = files.select(F.col(id_col).alias("id"), F.octet_length(content).alias("size"), F.sha1(F.col(content).cast("binary")).alias("sha1"))
     heads = f.groupBy("size", "sha1").agg(F.min("id").alias("kept"), F.count("*").alias("copies"))
     return f.join(heads, ["size", "sha1"]).select("id", "size", "sha1", "kept", "copies")

@@ -117,7 +117,7 @@ def prefix_lookup(rows: DataFrame, names: DataFrame, name: str = "name") -> Data
     return rows.join(hit, name, "left")
 
 
-def continue_sequence(new: DataFrame, last: int, order: list[str]) -> DataFrame:
+def continue_sequence(new: DataFrame, last: int, order: list) -> DataFrame:
     """``new`` with ``seq``, from ``last`` + 1 on in the given order. Rows are numbered within ranges of the first order column and
     the ranges' counts summed up, so that no task holds more than a range."""
     ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())

@@ -10,7 +10,8 @@ from ..schema import DONE, DUPLICATE, FAILED, PENDING, SKIPPED, blank_name, nz
 from . import ledger
 from .dedupe import wildcard_semi
 from .filenames import duplicate_files
-from .reconcile import prefix_lookup
+from .reconcile import continue_sequence, prefix_lookup, priority_union
+from .work import export_summary, group_counts, issue_counts
 
 ERROR, NO_PDF_YET, LEFT_OUT = "ERROR", "LOOKUP_WITHOUT_PDF", "SKIPPED"
 
@@ -92,8 +93,27 @@ def issues(run: DataFrame, messages: DataFrame, lookups: DataFrame, hints: list[
     return own.union(rest).orderBy(rank, "supplier", "mail_date", "message_id")
 
 
+def consolidated(sources: list[tuple[str, DataFrame]], order: list[str], id_col: str, units: DataFrame | None = None, present: DataFrame | None = None) -> DataFrame:
+    """The consolidated result: rows of named groups in order of priority, each invoice once, with ``group``."""
+    rows = priority_union([d.withColumn("group", F.lit(name)) for name, d in sources], order, id_col, units, present)
+    return rows.orderBy("source_rank", *order)
+
+
 def consolidated_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("source_rank").agg(F.count("*").alias("n"))
+    """Rows by class of group."""
+    return group_counts(rows)
+
+
+def issue_sheets(rows: DataFrame) -> dict[str, DataFrame]:
+    """The sheets of an issue workbook: the issues, and their counts by kind."""
+    return {"issues": rows, "kinds": issue_counts(rows)}
+
+
+def export_sheets(lookups: DataFrame) -> dict[str, DataFrame]:
+    """The sheets of a lookup workbook: numbered rows, and a block of counts."""
+    rows = lookup_export(lookups)
+    numbered = continue_sequence(rows.withColumn("_date", blank("mail_date")), 0, [F.desc("_date"), F.asc("message_id")]).drop("_date")
+    return {"lookups": numbered, "summary": export_summary(lookups)}
 
 
 def layout_split(files: DataFrame, rows: DataFrame, present: DataFrame, epoch=None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,9 +39,11 @@ def is_zip(content) -> Column:
 
 
 def looks_like_xml(content) -> Column:
-    """Starts, after a mark and white space, as XML and not as a web page."""
+    """Starts, after a mark and white space, as XML and not as a web page, and holds a tag of an invoice."""
     head = F.lower(F.regexp_replace(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"), r"^(?:ï»¿)?\s+|^ï»¿", ""))
-    return F.coalesce(F.startswith(head, F.lit("<")) & ~F.rlike(head, F.lit(r"^<(!doctype\s+html|html)")), F.lit(False))
+    page = F.contains(F.substring(head, 1, 800), F.lit("<html")) | F.contains(F.substring(head, 1, 800), F.lit("<!doctype html"))
+    known = F.decode(content, "ISO-8859-1").rlike("<HDon|<TDiep|DLHDon|<Invoice|<inv:")
+    return F.coalesce(F.startswith(head, F.lit("<")) & ~page & known, F.lit(False))
 
 
 def expand_zips(files: DataFrame, suffixes: tuple[str, ...] = ("pdf", "xml")) -> DataFrame:
@@ -76,3 +78,19 @@ def latest_report(files: DataFrame, profile: str, prefix: str = "issues") -> Dat
     """The newest report file of a profile."""
     hit = files.where(F.lower("name").startswith(f"{prefix}_{profile}_".lower()) & (F.col("suffix") == "xlsx"))
     return hit.agg(F.max_by("path", F.struct("mtime", "name")).alias("path"))
+
+
+def page_texts(files: DataFrame, read: Callable[[bytes], list[str]]) -> DataFrame:
+    """``files(path, content)`` → ``file, page_no, text``: pages as ``read`` gives them for a file's bytes, such as a PDF library's texts or the
+    output of a recogniser. A file that it can't read gives one row without text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    texts = read(content) or [None]
+                except Exception:  # noqa: BLE001 - a reader of foreign files may fail in any way, and one file must not end the job
+                    texts = [None]
+                yield pd.DataFrame({"file": path, "page_no": range(1, len(texts) + 1), "text": pd.Series(texts, dtype=object)})
+
+    return files.select("path", "content").mapInPandas(run, "file string, page_no int, text string")

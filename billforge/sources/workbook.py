@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -125,28 +126,52 @@ def _write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
-def write_workbook(df: DataFrame, path: str, sheet: str = "Sheet1") -> int:
-    """One sheet with a header; rows come to the driver a partition at a time. Returns the rows written."""
-    cell = lambda v: "" if v is None else f"<v>{v}</v>" if isinstance(v, (int, float)) and not isinstance(v, bool) else f'<is><t xml:space="preserve">{escape(_BAD.sub("", str(v)))}</t></is>'
-    kind = lambda v: "" if v is None or (isinstance(v, (int, float)) and not isinstance(v, bool)) else ' t="inlineStr"'
-    flat = df.select(*[F.array_join(c.name, "; ").alias(c.name) if c.dataType.typeName() == "array" else F.col(c.name) for c in df.schema])
-    buf, n = io.BytesIO(), 0
-    ns = "http://schemas.openxmlformats.org/"
+def _part(kind: str) -> str:
+    return f"application/vnd.openxmlformats-officedocument.spreadsheetml.{kind}+xml"
+
+
+def write_workbook(df: DataFrame, path: str, sheet: str = "Sheet1", more: dict[str, DataFrame] | None = None) -> int:
+    """A sheet with a header, and ``more`` sheets by name; rows come to the driver a partition at a time. Returns the first sheet's rows."""
+    sheets = {sheet: df, **(more or {})}
+    ns, root = "http://schemas.openxmlformats.org/", '<?xml version="1.0"?>'
+    office = f"{ns}officeDocument/2006/relationships"
+    numbers = range(1, len(sheets) + 1)
+    rel = lambda i, kind, target: f'<Relationship Id="r{i}" Type="{office}/{kind}" Target="{target}"/>'
+    rels = lambda inner: f'{root}<Relationships xmlns="{ns}package/2006/relationships">{inner}</Relationships>'
+    name = lambda s: escape(re.sub(r"[\[\]:*?/\\]", " ", s)[:31], {'"': "&quot;"})
+    over = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{_part("worksheet")}"/>' for i in numbers)
+    buf, counts = io.BytesIO(), []
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="{ns}package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
-        z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{ns}package/2006/relationships"><Relationship Id="r1" Type="{ns}officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{ns}spreadsheetml/2006/main" xmlns:r="{ns}officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet[:31], {chr(34): "&quot;"})}" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{ns}package/2006/relationships"><Relationship Id="r1" Type="{ns}officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as f:
-            f.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{ns}spreadsheetml/2006/main"><sheetData>'.encode())
-            for r in [tuple(flat.columns)] + [None]:
-                for row in [r] if r else flat.toLocalIterator():
-                    n += 1
-                    if n > MAX_ROWS:
-                        raise ValueError(f"a sheet holds {MAX_ROWS} rows; write a table instead")
-                    f.write((f'<row r="{n}">' + "".join(f"<c{kind(v)}>{cell(v)}</c>" for v in row) + "</row>").encode())
-            f.write(b"</sheetData></worksheet>")
+        z.writestr("[Content_Types].xml", f'{root}<Types xmlns="{ns}package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{_part("sheet.main")}"/>{over}</Types>')
+        z.writestr("_rels/.rels", rels(rel(1, "officeDocument", "xl/workbook.xml")))
+        listed = "".join(f'<sheet name="{name(s)}" sheetId="{i}" r:id="r{i}"/>' for i, s in zip(numbers, sheets, strict=True))
+        z.writestr("xl/workbook.xml", f'{root}<workbook xmlns="{ns}spreadsheetml/2006/main" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", rels("".join(rel(i, "worksheet", f"worksheets/sheet{i}.xml") for i in numbers)))
+        for i, d in zip(numbers, sheets.values(), strict=True):
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as f:
+                counts.append(_write_sheet(d, f, ns))
     _write_bytes(df.sparkSession, path, buf.getvalue())
+    return counts[0]
+
+
+def _write_sheet(df: DataFrame, f, ns: str) -> int:
+    flat = df.select(*[F.array_join(c.name, "; ").alias(c.name) if c.dataType.typeName() == "array" else F.col(c.name) for c in df.schema])
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_BAD.sub("", str(v)))}</t></is></c>'
+
+    f.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{ns}spreadsheetml/2006/main"><sheetData>'.encode())
+    n = 0
+    for row in itertools.chain([tuple(flat.columns)], flat.toLocalIterator()):
+        n += 1
+        if n > MAX_ROWS:
+            raise ValueError(f"a sheet holds {MAX_ROWS} rows; write a table instead")
+        f.write((f'<row r="{n}">' + "".join(map(cell, row)) + "</row>").encode())
+    f.write(b"</sheetData></worksheet>")
     return n - 1
 
 

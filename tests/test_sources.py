@@ -127,3 +127,20 @@ def test_engine(spark, tmp_path):
     assert (r.message_id, r.lookup.lookup_code, e.status().first().todo, e.pending().count()) == ("m", "ABCD1", 1, 1)
     assert {x.code: x.state for x in e.import_codes([("abcd1*", ""), ("new22", "7"), ("?", "")]).collect()} == {"ABCD1": "existed", "NEW22": "added", "?": "invalid"}
     assert {(x.section, x.label, x.n) for x in e.report().collect()} == {("status", "FAILED", 1), ("open", "FAILED", 1)}
+
+
+def test_workbook_of_several_sheets(spark, tmp_path):
+    from billforge.operators import reports
+    from billforge.schema import LOOKUPS
+    from billforge.sources import files, workbook
+
+    names = [c.split()[0] for c in LOOKUPS.split(", ")]
+    rows = [{"message_id": m, "mail_date": d, "lookup_code": "K", "invoice_no": n} for m, d, n in (("a", "2026-01-02", "1"), ("b", "2026-01-03", ""), ("c", None, "3"))]
+    sheets = reports.export_sheets(spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], LOOKUPS))
+    path = f"{tmp_path}/x.xlsx"
+    assert workbook.write_workbook(sheets["lookups"], path, "lookups", {"summary": sheets["summary"]}) == 3
+    got = workbook.read_workbooks(spark, path)
+    assert {r.sheet for r in got.select("sheet").distinct().collect()} == {"lookups", "summary"}
+    assert [r.message_id for r in sheets["lookups"].orderBy("seq").collect()] == ["b", "a", "c"]
+    pages = files.page_texts(spark.createDataFrame([("p", b"a\fb"), ("q", b"")], "path string, content binary"), lambda c: c.decode().split("\f") if c else 1 // 0)
+    assert sorted((r.file, r.page_no, r.text) for r in pages.collect()) == [("p", 1, "a"), ("p", 2, "b"), ("q", 1, None)]
