@@ -410,7 +410,7 @@ def lookup_rows(spark, sf):
         F.lpad(k.cast("string"), 9, "0").alias("message_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("mail_date"), F.when(k % 9 == 0, "").otherwise(F.concat(F.lit(" k"), (F.col("o_custkey") % 997).cast("string"), F.lit("*"))).alias("lookup_code"),
         F.when(k % 3 == 0, "").otherwise((k % 4 + 1).cast("string")).alias("invoice_no"), F.when(k % 5 == 0, "DONE").when(k % 7 == 0, "DUPLICATE").when(k % 11 == 0, "FAILED").alias("pdf_status"),
         F.when(k % 7 == 0, "000000000").alias("dup_of"), F.when(k % 5 == 0, "f").alias("pdf_file"), F.lit(None).cast("string").alias("pdf_error"), (k % 13 == 0).cast("int").alias("force_pdf"), (k % 2).cast("int").alias("master_synced"),
-        F.lit(0).alias("pdf_not_found"), F.lit("").alias("header_date"),
+        F.lit(0).alias("pdf_not_found"), F.lit("").alias("header_date"), F.lit("").alias("sender"), F.lit("").alias("subject"),
     )
 
 
@@ -483,9 +483,9 @@ f as (
   select series_key, number_key, rn, id, coalesce(hit, id), case when hit is null then list_append(reps, {{'id': id, 'b': b, 's': s}}) else reps end from (
     select r.series_key, r.number_key, r.rn, r.id, r.b, r.s, f.reps, case when r.fresh = 1 then list_filter(f.reps, lambda x: (x.b = '' or r.b = '' or x.b = r.b) and (x.s = '' or r.s = '' or x.s = r.s))[1].id end hit
     from f join r on r.series_key = f.series_key and r.number_key = f.number_key and r.rn = f.rn + 1)),
-g as (select f.of, list(i.plate order by i.fresh, i.id) plates, list(i.kind order by i.fresh, i.id) kinds, min(i.fresh) fresh from f join i using (id) group by 1)
+g as (select f.of, list(i.plate order by i.fresh, i.id) plates, list(i.b order by i.fresh, i.id) bs, list(i.s order by i.fresh, i.id) ss, list(i.kind order by i.fresh, i.id) kinds, min(i.fresh) fresh from f join i using (id) group by 1)
 select of id, fresh added, case when kinds[1] = 'text' and len(kinds) > 1 and plates[2] <> '' then plates[2] else coalesce(list_filter(plates, lambda x: x <> '')[1], plates[1]) end plate, case when len(kinds) > 1 then 'xml' else kinds[1] end provenance,
-  case when kinds[1] = 'text' and len(kinds) > 1 then 'replaced' when fresh = 1 then 'added' when plates[1] = '' and len(list_filter(plates, lambda x: x <> '')) > 0 then 'filled' else 'kept' end outcome from g
+  case when kinds[1] = 'text' and len(kinds) > 1 then 'replaced' when fresh = 1 then 'added' when plates[1] = '' and len(list_filter(plates, lambda x: x <> '')) > 0 or bs[1] = '' and len(list_filter(bs, lambda x: x <> '')) > 0 or ss[1] = '' and len(list_filter(ss, lambda x: x <> '')) > 0 then 'filled' else 'kept' end outcome from g
 """
 
 
@@ -512,7 +512,7 @@ def page_rows(spark, sf):
     a, c = (100 + F.floor("o_totalprice") % 900).cast("bigint"), F.col("o_custkey").cast("string")
     lit = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     date = F.when(k % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise("Ngày O1 tháng l2 năm 2025")
-    money = F.when(k % 2 == 0, lit("Cộng tiền hàng: ", a.cast("string"), ".000")).otherwise(lit("Thuế suất GTGT 10% Tiền thuế: ", F.regexp_replace((a * 100).cast("string"), "(...)$", ".$1"), "\nTổng cộng tiền thanh toán: ", F.regexp_replace((a * 1100).cast("string"), "(...)$", ".$1")))
+    money = F.when(k % 2 == 0, lit("Cộng tiền hàng: ", a.cast("string"), ".000")).otherwise(lit("Thuế suất GTGT 10% Tiền thuế: ", F.format_number(a * 100, 0), "\nTổng cộng tiền thanh toán: ", F.format_number(a * 1100, 0)))
     page = lit(
         "HÓA ĐƠN GIÁ TRỊ GIA TĂNG\nMã số thuế: 0100000000\nKý hiệu: ", F.when(k % 2 == 0, "K26TAN").otherwise("IK26TAN"), "\nSố: ", F.lpad((k + 10_000).cast("string"), 8, "0"), "\n", date, "\nTên đơn vị mua hàng: Công ty ", c, " MST: 1\nMã số thuế: 03", F.lpad(c, 8, "0"),
         F.when(k % 5 == 0, "").otherwise(lit("\nBiển số xe: 50a 123 ", F.lpad((F.col("o_custkey") % 100).cast("string"), 2, "0"))), "\n1 ", F.when(k % 3 == 0, "Dầu Diezen").otherwise("Xăng RON 95-III"), " Lít\n", money,
