@@ -74,7 +74,7 @@ def same_columns(wanted: list[str], rows: DataFrame) -> list[str]:
 
 def distinct_ids(ids) -> Column:
     """An array's ids once each, in order of first appearance."""
-    return F.array_distinct(F.filter(F.transform(ids, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def filled_stems(rows: DataFrame) -> DataFrame:

@@ -263,3 +263,105 @@ def known_codes(spark, sf):
 def last_filled_row(spark, sf):
     p = table(spark, sf, "part").withColumns({"code": F.when(F.col("p_size") % 6 == 0, "x"), "number": F.when(F.col("p_size") % 6 == 3, 1)})
     return reconcile.last_filled(p, "p_partkey", "code", "number")
+
+
+# ---- single values and small tables
+@query("select c_custkey, case when c_custkey % 3 = 0 then 'a b' else 'ab' end cleaned, case when c_custkey % 2 = 0 then 'see  end' else 'see https://x.vn/a end' end urls, 'k' || cast(c_custkey as varchar) decoded, 'a_b_' || cast(c_custkey as varchar) safe, case when c_custkey % 4 = 0 then 'b.c.vn' else 'c.vn' end root from customer")
+def text_cleaning(spark, sf):
+    """White space and quotes, marked URLs, base64 with URL letters, file names, root domains."""
+    k, s = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    urls = F.concat(F.lit("see "), F.when(k % 2 == 0, "https://x.gov.vn/a?b").otherwise("https://x.vn/a"), F.lit(" end"))
+    return table(spark, sf, "customer").select(
+        "c_custkey", text.clean(F.when(k % 3 == 0, ' "a \n b" ').otherwise("ab\t")).alias("cleaned"), text.drop_marker_urls(urls, "gov.vn").alias("urls"), text.base64url(F.translate(F.base64(F.concat(F.lit("k"), s).cast("binary")), "+/", "-_")).cast("string").alias("decoded"),
+        text.safe_name(F.concat(F.lit("a:b?"), s)).alias("safe"), text.root_domain(F.when(k % 4 == 0, "A.b.c.vn").otherwise("c.vn")).alias("root"),
+    )
+
+
+@query("select c_custkey, case c_custkey % 4 when 0 then true when 1 then true when 2 then true else false end suspicious, case c_custkey % 3 when 0 then '1K26TAN' when 1 then '1C26TAA' end series, c_custkey % 5 in (0, 1) valid from customer")
+def value_checks(spark, sf):
+    k = F.col("c_custkey")
+    number = F.when(k % 4 == 0, "123").when(k % 4 == 1, "0301234").when(k % 4 == 2, None).otherwise("12345")
+    ser = F.when(k % 3 == 0, "lk26fan").when(k % 3 == 1, "IC26TAA").otherwise("zz")
+    goods = F.when(k % 5 == 0, "Xăng RON 95").when(k % 5 == 1, "Dầu").when(k % 5 == 2, "12.345").when(k % 5 == 3, "STT").otherwise("abc")
+    return table(spark, sf, "customer").select("c_custkey", F.coalesce(extract.suspicious_number(number), F.lit(True)).alias("suspicious"), page_fields.normal_series(ser).alias("series"), (page_fields.valid_goods(goods) | (goods == "Dầu")).alias("valid"))
+
+
+@query("select o_orderkey, case when o_orderkey % 2 = 0 then '0301234567_1C26TAA_' || cast(o_orderkey as varchar) || '.pdf' when o_orderkey % 3 = 0 then 'own.pdf' else 'x_invoice.pdf' end pdf, case when o_orderkey % 2 = 0 then 'C26TAA_' || cast(o_orderkey as varchar) || '.xml' else 'f.xml' end xml, case when o_orderkey % 2 = 0 then 'https://tracuuhdc.smartsign.com.vn/hddt/?code=' || cast(o_orderkey as varchar) || '%2F&xdb=1' else 'https://t.vn/x' end clicked from orders")
+def download_names(spark, sf):
+    from ..functions import html
+
+    k, s = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    page = F.when(k % 2 == 0, F.concat(F.lit("Ký hiệu: 1C26TAA\nSố: "), s, F.lit("\nMST 0301234567"))).otherwise("nothing")
+    content = F.when(k % 2 == 0, F.concat(F.lit("<HDon><KHHDon>C26TAA</KHHDon><SHDon> "), s, F.lit("</SHDon>"))).otherwise("<a/>")
+    url = F.when(k % 2 == 0, F.concat(F.lit("https://t.vn/x?y=1&code="), s, F.lit("%2F"))).otherwise("https://t.vn/x")
+    name = page_fields.download_name(page_fields.quick_info(page), F.when(k % 3 == 0, "own.pdf").otherwise(" "), F.lit("x"))
+    return table(spark, sf, "orders").select("o_orderkey", name.alias("pdf"), page_fields.xml_name(content, F.lit("f.xml")).alias("xml"), html.clicked_url(url).alias("clicked"))
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then 'ui' || cast(c_nationkey as varchar) when c_nationkey < 20 then 'base' || cast(c_nationkey as varchar) else c_name end buyer_name from customer")
+def overlay_units(spark, sf):
+    """Units by tax id: a table laid over another, then the name that was read."""
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    tax = lambda p, k: F.concat(F.lit(p), F.lpad(k.cast("string"), 9, "0"))
+    over = n.select(tax("1", F.col("n_nationkey")).alias("tax_id"), F.concat(F.lit("ui"), F.col("n_nationkey").cast("string")).alias("unit"))
+    base = n.where("n_nationkey < 20").select(tax("2", F.col("n_nationkey")).alias("tax_id"), F.concat(F.lit("base"), F.col("n_nationkey").cast("string")).alias("unit"))
+    units = reconcile.lookup_ranked(over.select("tax_id").union(base.select("tax_id")), [over, base.union(over.withColumn("unit", F.lit("never")))], "tax_id", "unit")
+    rows = c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, tax("1", F.col("c_nationkey"))).otherwise(tax("2-", F.col("c_nationkey"))).alias("buyer_tax_id"), F.col("c_name").alias("buyer_name"))
+    return reconcile.buyer_unit(rows, units).select("c_custkey", "buyer_name")
+
+
+@query("select 'f' || cast(conv_id as varchar) as file, turn from conversations c where turn % 3 > 0 or not exists (select 1 from conversations d where d.conv_id = c.conv_id and d.turn % 3 > 0)")
+def invoice_pages(spark, sf):
+    """Pages without pump logs, unless a file has nothing else."""
+    c = table(spark, sf, "conversations").select(F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("file"), "turn")
+    p = c.withColumn("text", F.when(F.col("turn") % 3 == 0, "  Danh sách log cột bơm").when(F.col("turn") % 3 == 1, "HÓA ĐƠN vòi bơm").otherwise(None))
+    return page_fields.invoice_pages(p).select("file", "turn")
+
+
+@query("select p_partkey, row_number() over (order by case when p_partkey % 2 = 0 then 'b' else 'a' end, p_size, p_partkey) n from part")
+def result_order(spark, sf):
+    """Rows by name before the page, page as a number, file."""
+    p = table(spark, sf, "part")
+    alias = F.concat(F.when(F.col("p_partkey") % 2 == 0, "b").otherwise("a"), F.lit("_p"), F.col("p_size").cast("string"))
+    rows = p.select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("file"), alias.alias("alias"))
+    return reconcile.continue_sequence(rows, 0, page_fields.result_order(F.col("file"), "alias")).select("p_partkey", F.col("seq").alias("n"))
+
+
+@query("select c_custkey, list_filter(['a', case when c_custkey % 2 = 0 then 'a' else 'b' end, 'c'], lambda x: true)[1:1] || case when c_custkey % 2 = 0 then ['c'] else ['b', 'c'] end ids from customer")
+def distinct_ids(spark, sf):
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", work.distinct_ids(F.array(F.lit("a"), F.when(k % 2 == 0, " a").otherwise("b"), F.lit(" "), F.lit("c"), F.lit("a"))).alias("ids"))
+
+
+@query("select p_brand folder, min(p_partkey) id, 'x' || cast(p_size % 4 as varchar) body, row_number() over (partition by p_brand order by min(p_partkey)) copy from part group by p_brand, p_size % 4")
+def xml_saves(spark, sf):
+    """One file of each content under a name; later ones are numbered."""
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("folder"), F.lit("n.xml").alias("name"), F.col("p_partkey").alias("id"), F.concat(F.lit("x"), (F.col("p_size") % 4).cast("string")).cast("binary").alias("content"))
+    copy = F.coalesce(F.regexp_extract("unique_name", r"_(\d+)\.", 1).try_cast("bigint"), F.lit(0).cast("bigint")) + 1
+    return work.xml_saves(p).select("folder", "id", F.col("content").cast("string").alias("body"), copy.alias("copy"))
+
+
+@query("select cast(c_custkey as varchar) id, case when c_custkey % 3 = 0 then 'plain' when c_custkey % 3 = 1 then '<b>x</b>' else '' end body from customer where c_custkey % 7 = 0 and c_custkey % 30 between 2 and 4")
+def message_bodies(spark, sf):
+    """Messages of a label within days, both included, and their first body that is not blank."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    coded = lambda v: F.translate(F.base64(v.cast("binary")), "+/", "-_")
+    part = lambda mime, v: F.struct(F.lit("0").alias("path"), F.lit("").alias("filename"), F.lit(mime).alias("mime"), F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("string").alias("attachment_id"), coded(v).alias("data_b64url"))
+    day = F.unix_millis(F.to_timestamp(F.lit("2026-01-01"))) + (k % 30) * 86_400_000 + (k % 24) * 3_600_000
+    m = c.select(k.cast("string").alias("id"), F.when(k % 7 == 0, F.array(F.lit("L"))).otherwise(F.array(F.lit("M"))).alias("label_ids"), day.alias("internal_date_ms"), F.array(part("text/html", F.when(k % 3 == 1, "<b>x</b>").otherwise(" ")), part("image/png", F.lit("i")), part("text/plain", F.when(k % 3 == 0, "plain").otherwise(" "))).alias("parts"))
+    return messages.first_body(messages.listing(m, "L", "2026-01-03", "2026-01-05"))
+
+
+@query("select case when c_nationkey % 2 = 0 then 's' || cast(c_nationkey as varchar) else '' end supplier, count(*) n, count(*) filter (where c_custkey % 3 = 0) pdfs, count(*) filter (where c_custkey % 4 = 0) hits from customer group by 1")
+def scan_summary(spark, sf):
+    k = F.col("c_custkey")
+    return messages.scan_summary(table(spark, sf, "customer").select(F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("s"), F.col("c_nationkey").cast("string"))).alias("supplier"), (k % 3 == 0).alias("has_pdf"), (k % 4 == 0).alias("keyword_hit")))
+
+
+@query("select p_partkey from part where p_size % 5 > 0 and p_partkey % 3 > 0")
+def unread_files(spark, sf):
+    """Page files outside of folders that were read, without known stems."""
+    p = table(spark, sf, "part")
+    f = p.select("p_partkey", F.when(F.col("p_size") % 5 == 0, "/in/Trung_Lap").otherwise("/in/x").alias("folder"), F.col("p_partkey").cast("string").alias("stem"))
+    known = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("file_stem"))
+    return work.unread(f, work.filled_stems(known)).select("p_partkey")
