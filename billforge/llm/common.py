@@ -129,6 +129,34 @@ def _stars(edges: DataFrame) -> bool:
     return not per.where((F.col("a") > 1) | (F.col("a") > 0) & (F.col("b") > 0)).limit(1).count()
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """``sets(id, set)`` → ``(id, size, p)``: elements dealt to 256 places, the parities of the places as four longs."""
+    place = F.expr("shiftleft(1L, cast(t & 63 as int))")
+    quarter = F.shiftright("t", 6).bitwiseAND(3)
+    parity = [F.bit_xor(F.when(quarter == k, place).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(4)]
+    return sets.select("id", F.explode("set").alias("t")).groupBy("id").agg(F.count("*").alias("size"), *parity).select("id", "size", F.array("p0", "p1", "p2", "p3").alias("p"))
+
+
+def may_reach(similarity: float, size, p, size2, p2) -> Column:
+    """False only for sets whose sizes or parities rule the similarity out: sets differ in at least as many elements as their parities do."""
+    differ = sum((F.bit_count(F.get(p, F.lit(k)).bitwiseXOR(F.get(p2, F.lit(k)))) for k in range(4)), F.lit(0))
+    return (F.least(size, size2) >= similarity * F.greatest(size, size2) - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (size + size2) + 1e-9)
+
+
+def jaccard_verifier(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFrame]:
+    """``sets(id, set)`` → a filter of ``pairs(u, v, ...)`` by the exact Jaccard similarity. Pairs that sketches rule out never meet their sets."""
+    sketch = materialize(sketches(sets), "sketches")
+    own = lambda d, n, *c: d.select(F.col("id").alias(n), *[F.col(x).alias(f"_{x}_{n}") for x in c])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        rest = pairs.columns
+        some = pairs.join(own(sketch, "u", "size", "p"), "u").join(own(sketch, "v", "size", "p"), "v").where(may_reach(similarity, F.col("_size_u"), F.col("_p_u"), F.col("_size_v"), F.col("_p_v"))).select(*rest)
+        both = F.size(F.array_intersect("_set_u", "_set_v"))
+        return some.join(own(sets, "u", "set"), "u").join(own(sets, "v", "set"), "v").where(both >= similarity * (F.size("_set_u") + F.size("_set_v") - both) - 1e-9).select(*rest)
+
+    return verify
+
+
 def prefix_pairs(ids: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``ids(id, comp)`` and ``sets(id, set)`` → pairs ``(u, v)`` of different ``comp``, among them all of this Jaccard similarity.
 
@@ -145,7 +173,7 @@ def prefix_pairs(ids: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     early = F.filter(F.transform(F.slice("o", F.lit(1), first.cast("int")), lambda x, i: F.struct(i.alias("pos"), x["f"].alias("f"), x["t"].alias("t"))), lambda x: x["f"] > 1)
     a = ordered.select("id", "comp", "size", F.array("p0", "p1", "p2", "p3").alias("p"), early.alias("e")).select("*", F.posexplode("e").alias("k", "x"))
     # the last few elements before this one: a pair that shares one of them is met there
-    before = F.slice(F.transform("e", lambda x: x["t"]), F.greatest(F.col("k") - 15, F.lit(1)), F.least(F.col("k"), F.lit(16)))
+    before = F.slice(F.transform("e", lambda x: x["t"]), F.greatest(F.col("k") - 5, F.lit(1)), F.least(F.col("k"), F.lit(6)))
     a = a.select("id", "comp", F.col("x.t").alias("t"), "size", "p", (F.col("size") - F.col("x.pos")).alias("left"), before.alias("before"))
     b = a.select("t", F.col("p").alias("q"), F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("size").alias("size2"), F.col("left").alias("left2"), F.col("before").alias("before2"))
     enough = F.least("left", "left2") >= similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-9
@@ -163,8 +191,8 @@ def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
     Else a round compares each bucket's members with one leader, so its pairs grow with the members, not
     with their square; members of one component are not compared again. In the end all pairs across the
     components of a bucket that were not tried yet are verified, so no link between components is lost. With a
-    ``similarity``, for which ``prepare`` returns ``(sets, verify)``, buckets of more than ``few`` members only pair
-    members that the order of their sets' elements lets reach it (``prefix_pairs``).
+    ``similarity``, for which ``prepare`` returns ``(sets, verify)``, and where those pairs are many, buckets of more than ``few``
+    members only pair members that the order of their sets' elements lets reach it (``prefix_pairs``).
     Returns ``(id, component)`` of linked ids.
     """
     size = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -172,11 +200,12 @@ def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
     sets, verify = prepare(live) if similarity else (None, prepare(live))
     tried = links = None
     written: list[DataFrame] = []
-    before = float("inf")
+    before, settled = float("inf"), False
     for k in range(rounds):
         n = live.groupBy("bucket").agg(F.count("*").cast("double").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"))
         total, pairs = n.where("a <> b").agg(F.sum("n"), F.expr("sum(n * (n - 1) / 2)")).first()
-        if not total or pairs <= max(4 * total, 50_000) or total > 0.95 * before:
+        settled = not total or pairs <= max(16 * total, 50_000)
+        if not total or pairs <= max(total, 50_000) or total > 0.95 * before:
             break
         before = total
         key = F.xxhash64(F.col("id"), F.col("bucket"), F.lit(k))
@@ -203,13 +232,14 @@ def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
         discard(live, hop)
         live = live2
     small = live
-    if similarity:
+    ordered = similarity and not settled
+    if ordered:
         count = live.groupBy("bucket").agg(F.count("*").alias("m"))
         sized = live.join(count, "bucket")
         small, large = sized.where(F.col("m") <= few), sized.where(F.col("m") > few).select("id", "comp").distinct()
     other = small.select("bucket", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
     pairs = small.join(other, "bucket").where("comp < comp2").select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v"))
-    pairs = (pairs.union(prefix_pairs(materialize(large, "large"), sets, similarity)) if similarity else pairs).distinct()
+    pairs = (pairs.union(prefix_pairs(materialize(large, "large"), sets, similarity)) if ordered else pairs).distinct()
     if tried is not None:
         pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         written.append(pairs)

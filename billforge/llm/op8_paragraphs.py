@@ -120,12 +120,7 @@ def similar_paragraphs(docs: DataFrame, found: DataFrame, size: int = SHINGLE, s
         need = first.join(ids, "nid", "left_semi").select("lo.key", F.struct("lo.at", "nid").alias("x")).groupBy("key").agg(F.collect_list("x").alias("need"))
         sets = common.materialize(docs.join(need, "key").select("text", "need").mapInPandas(cut, "id long, set array<long>").dropDuplicates(["id"]), "shingles")
 
-        def verify(pairs: DataFrame) -> DataFrame:
-            a, b = sets.select(F.col("id").alias("u"), F.col("set").alias("a")), sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
-            both = F.size(F.array_intersect("a", "b"))
-            return pairs.join(a, "u").join(b, "v").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).drop("a", "b")
-
-        return sets, verify
+        return sets, common.jaccard_verifier(sets, similarity)
 
     comps = common.materialize(common.link_buckets(members, prepare, similarity=similarity), "components")
     common.discard(sets)
