@@ -1,7 +1,7 @@
 """``python -m billforge ROOT ACTION [KEY ...]``: reads and changes a ledger.
 
 Readers: ledger, lookups, status, report, pending, unsynced, export, csv, verify, search. Changes: mark-done, mark-pending, seed,
-mark-downloaded, reset, dedupe. ``--out`` writes a workbook instead of showing rows."""
+add-codes (CODE or CODE:NUMBER), mark-downloaded, reset, dedupe. ``--out`` writes a workbook instead of showing rows."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from .sources.workbook import write_workbook
 
 SHOWN = 5000
 READERS = ("ledger", "lookups", "status", "report", "pending", "unsynced", "export", "csv", "verify", "search")
-CHANGES = ("mark-done", "mark-pending", "seed", "mark-downloaded", "reset", "dedupe")
+CHANGES = ("mark-done", "mark-pending", "seed", "add-codes", "mark-downloaded", "reset", "dedupe")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -45,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
 
 def change(e: Engine, a: argparse.Namespace) -> int:
     return {
-        "mark-done": lambda: e.mark(a.keys, DONE, a.at), "mark-pending": lambda: e.mark(a.keys, PENDING, a.at), "seed": lambda: e.seed(a.keys, a.reason, a.at),
+        "mark-done": lambda: e.mark(a.keys, DONE, a.at), "mark-pending": lambda: e.mark(a.keys, PENDING, a.at), "seed": lambda: e.seed(a.keys, a.reason, a.at), "add-codes": lambda: e.add_codes([(c, n) for c, _, n in (k.partition(":") for k in a.keys)], a.at),
         "mark-downloaded": lambda: e.mark_downloaded(a.keys or None, a.at), "reset": lambda: e.reset_not_found(a.keys, a.at), "dedupe": lambda: e.dedupe(a.at).first()["new"],
     }[a.action]()
 

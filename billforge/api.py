@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import ledger, lookups, reconcile, reports, work, xmlrows
+from .functions.text import norm_code, norm_number
+from .operators import dedupe, ledger, lookups, reconcile, reports, work, xmlrows
 from .schema import DONE, DUPLICATE, LOOKUPS, PENDING, nz
 from .sources import files, messages, workbook
 
 MAX_IMPORT = 2000
+#: Fixed value: the form of a lookup code.
+CODE = "^[A-Z0-9]{5,24}$"
 
 
 class Engine:
@@ -156,11 +159,27 @@ class Engine:
         return rows.where(F.rlike("url", F.lit("^https?://")) & F.rlike("message_id", F.lit("^[A-Za-z0-9_-]+$")))
 
     def import_codes(self, codes: list[tuple[str, str]]) -> DataFrame:
-        """(code, number) typed by hand, at most MAX_IMPORT, with ``state``: invalid, existed or added."""
-        from .functions.text import norm_code, norm_number
-
+        """(code, number) typed by hand, at most MAX_IMPORT, with ``state``: invalid; existed, where the ledger or an earlier one of the list has the
+        code with a number that fits; or added."""
         if len(codes) > MAX_IMPORT:
             raise ValueError(f"at most {MAX_IMPORT} codes at once")
-        new = self.spark.createDataFrame(codes, "code string, number string").select(norm_code(F.col("code")).alias("code"), norm_number(F.col("number")).alias("number")).distinct()
-        old = self.lookups().select(norm_code(F.col("lookup_code")).alias("code")).join(F.broadcast(new.select("code")), "code", "left_semi").distinct().withColumn("_old", F.lit(True))
-        return new.join(old, "code", "left").select("code", "number", F.when(~F.rlike("code", F.lit("^[A-Z0-9]{4,32}$")), "invalid").when(F.col("_old"), "existed").otherwise("added").alias("state"))
+        typed = self.spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate(codes)], "place int, code string, number string")
+        blank = lambda c: F.coalesce(c, F.lit(""))
+        new = typed.select("place", F.rtrim(F.upper(F.regexp_replace(blank(F.col("code")), r"\s", "")), F.lit("*")).alias("code"), F.regexp_replace(blank(F.col("number")), "[^0-9]", "").alias("typed"))
+        new = new.withColumn("number", F.regexp_replace("typed", "^0+", ""))
+        valid = new.where(F.rlike("code", F.lit(CODE)))
+        old = self.lookups().select(norm_code(F.col("lookup_code")).alias("code"), norm_number(F.col("invoice_no")).alias("number"))
+        known = dedupe.wildcard_semi(valid, old).select("place", F.lit("existed").alias("state"))
+        fresh = dedupe.fold_dedupe(dedupe.wildcard_semi(valid, old, anti=True), ["code"], ["number"], [], "place")
+        states = known.union(fresh.select("place", F.when(F.col("dup_of").isNull(), "added").otherwise("existed")))
+        return new.join(states, "place", "left").select("place", "code", "number", "typed", F.coalesce("state", F.lit("invalid")).alias("state")).orderBy("place")
+
+    def add_codes(self, codes: list[tuple[str, str]], ts: str, source: str = "list") -> int:
+        """Adds the codes that ``import_codes`` would add as lookups; how many."""
+        added = self.import_codes(codes).where("state = 'added'")
+        name = F.concat(F.lit(lookups.MANUAL_PREFIX), "code", F.when(F.col("number") != "", F.concat(F.lit("-"), "number")).otherwise(""))
+        rows = added.select(
+            F.lit(0).cast("bigint").alias("event_seq"), F.lit(ts).alias("ts"), name.alias("message_id"), F.lit(ts).alias("mail_date"), F.lit("").alias("header_date"), F.lit("BY_HAND").alias("sender"),
+            F.substring(F.lit(f"FROM {source}"), 1, 200).alias("subject"), F.col("typed").alias("invoice_no"), F.concat("code", F.lit("*")).alias("lookup_code"),
+        )
+        return self._append(lookups.lookup_events(rows, "upsert"), "lookup_events", ts)

@@ -151,3 +151,11 @@ def test_small_operators(spark):
     assert s.count() == 0 and s.columns == ["id"]
     saves = spark.createDataFrame([("d", "a.xml", 1, b"x"), ("d", "a.xml", 2, b"x"), ("d", "a.xml", 3, b"y")], "folder string, name string, id int, content binary")
     assert sorted((r.id, r.unique_name) for r in work.xml_saves(saves).collect()) == [(1, "a.xml"), (3, "a_1.xml")]
+
+
+def test_typed_codes(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    codes = [("abcd1*", "007"), (" ABC D1", ""), ("abcd1", "8"), ("?", ""), ("abc", ""), ("NEW22", "x12")]
+    assert [r.state for r in e.import_codes(codes).collect()] == ["added", "existed", "added", "invalid", "invalid", "added"]
+    assert e.add_codes(codes, "t1") == 3 and e.add_codes(codes, "t2") == 0
+    assert {r.message_id: (r.lookup_code, r.invoice_no, r.pdf_status) for r in e.lookups().collect()} == {"nhap-tay-ABCD1-7": ("ABCD1*", "007", "PENDING"), "nhap-tay-ABCD1-8": ("ABCD1*", "8", "PENDING"), "nhap-tay-NEW22-12": ("NEW22*", "12", "PENDING")}
