@@ -205,7 +205,8 @@ def link_buckets(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
         n = live.groupBy("bucket").agg(F.count("*").cast("double").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"))
         total, pairs = n.where("a <> b").agg(F.sum("n"), F.expr("sum(n * (n - 1) / 2)")).first()
         settled = not total or pairs <= max(16 * total, 50_000)
-        if not total or pairs <= max(total, 50_000) or total > 0.95 * before:
+        # where a check needs the members' sets, it costs more than a round
+        if not total or pairs <= max(total * (1 if similarity else 4), 50_000) or total > 0.95 * before:
             break
         before = total
         key = F.xxhash64(F.col("id"), F.col("bucket"), F.lit(k))
