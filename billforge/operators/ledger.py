@@ -1,7 +1,7 @@
 """The message ledger: an append-only event table folded into its current state.
 
 Events: ``event_seq, ts, message_id, kind, status, subject, mail_date, supplier, reason, files``; kinds are record,
-mark, seed, file and note. A message's events are few; they are gathered by message after projection and folded in order.
+mark, seed, file and note.
 """
 
 from __future__ import annotations
@@ -10,31 +10,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DONE, DUPLICATE, FAILED, NO_CODE, PENDING, SKIPPED, nz
+from .numbering import running
 
 RETRY_LIMIT, READ_ERROR_LIMIT, NOT_FOUND_LIMIT = 3, 10, 3
-MARKED_DONE, MARKED_PENDING = "MANUAL_DONE", "MANUAL_PENDING"
+MARKED_DONE, MARKED_PENDING, STATE = "MANUAL_DONE", "MANUAL_PENDING", "state"
 
 
-def fold_events(events: DataFrame) -> DataFrame:
+def state_events(messages: DataFrame, upto: int = 0) -> DataFrame:
+    """Messages of a snapshot as events that come before all later ones."""
+    known = messages.select(
+        F.lit(upto).cast("bigint").alias("event_seq"), F.col("updated_at").alias("ts"), "message_id", F.lit(STATE).alias("kind"), "status", "subject", "mail_date", "supplier", "reason", "files",
+        F.col("attempts").cast("bigint").alias("_n"), F.col("first_seen").alias("_first"),
+    )
+    return known
+
+
+def fold_events(events: DataFrame, snapshot: DataFrame | None = None, upto: int = 0) -> DataFrame:
     """Current messages: attempts count records, first_seen stays, blank new fields keep the old, null files keep files and count,
     status and reason are always replaced; a mark sets its own reason, one to PENDING resets the attempts; a seed never changes a known
-    message. A file event replaces the files, a note the reason, of a known message, and nothing else."""
-    e = events.groupBy("message_id").agg(
-        F.array_sort(F.collect_list(F.struct("event_seq", "ts", "kind", "status", nz("subject").alias("subject"), nz("mail_date").alias("mail_date"), nz("supplier").alias("supplier"), "reason", "files"))).alias("e")
-    )
-    # what comes before the message is known changes nothing
-    known = F.array_position(F.transform("e", lambda x: x["kind"].isin("record", "mark", "seed")), True).cast("int")
-    e = e.where(known > 0).withColumn("e", F.slice("e", known, F.size("e")))
-    e = e.withColumn("e", F.filter("e", lambda x, i: (x["kind"] != "seed") | (i == 0)))
-    e = e.withColumn("s", F.filter("e", lambda x: ~x["kind"].isin("file", "note")))
-    last = lambda f, of: F.try_element_at(F.filter(F.transform(of, lambda x: x[f]), lambda x: x.isNotNull()), F.lit(-1))
-    attempts = F.aggregate("s", F.lit(0), lambda n, x: F.when(x["kind"] == "record", n + 1).when((x["kind"] == "mark") & (x["status"] == PENDING), 0).otherwise(n))
-    why = lambda x: F.when(x["kind"] == "mark", F.when(x["status"] == DONE, MARKED_DONE).otherwise(MARKED_PENDING)).otherwise(x["reason"])
-    reason = F.element_at(F.transform(F.filter("e", lambda x: x["kind"] != "file"), why), -1)
-    end, files = F.element_at("s", -1), F.coalesce(last("files", F.col("e")), F.array().cast("array<string>"))
-    return e.select(
-        "message_id", end["status"].alias("status"), last("supplier", F.col("s")).alias("supplier"), last("subject", F.col("s")).alias("subject"), last("mail_date", F.col("s")).alias("mail_date"), reason.alias("reason"),
-        attempts.alias("attempts"), F.size(files).alias("saved_count"), files.alias("files"), F.get("s", F.lit(0))["ts"].alias("first_seen"), end["ts"].alias("updated_at"),
+    message. A file event replaces the files, a note the reason, of a known message, and nothing else.
+
+    With a ``snapshot``, the messages that all events up to ``upto`` make, ``events`` are the later ones only. A field is what the last
+    event that sets it says: an aggregate that is merged from parts, so no message's events are gathered. Attempts are the sum of
+    all records less the sum before the last reset, both running sums (``numbering.running``)."""
+    cols = ["event_seq", "ts", "message_id", "kind", "status", *[nz(c).alias(c) for c in ("subject", "mail_date", "supplier")], "reason", "files"]
+    e = events.select(*cols, (F.col("kind") == "record").cast("bigint").alias("_n"), F.col("ts").alias("_first"))
+    if snapshot is not None:
+        e = e.unionByName(state_events(snapshot, upto))
+    kind, seq = F.col("kind"), F.col("event_seq")
+    reset = (kind == "mark") & (F.col("status") == PENDING)
+    e = running(e, ["message_id"], "event_seq", sums={"_before": F.col("_n")})
+    known, seed = kind.isin("record", "mark", STATE), kind == "seed"
+    why = F.when(kind == "mark", F.when(F.col("status") == DONE, MARKED_DONE).otherwise(MARKED_PENDING)).otherwise(F.col("reason"))
+    end = lambda x, of: F.max_by(x, F.when(of, seq))
+    filled = lambda c: F.coalesce(end(F.col(c), known & F.col(c).isNotNull()), F.min_by(c, F.when(seed, seq)))
+    # what stands before the message is known changes nothing; of several seeds the first, if nothing else is earlier
+    start = F.min(F.when(known | seed, seq))
+    a = e.groupBy("message_id").agg(
+        start.alias("start"), end(F.col("status"), known).alias("status"), F.max(F.when(known, seq)).alias("own"), F.min_by(F.struct("event_seq", "status", "reason", "files", "ts"), F.when(seed, seq)).alias("seed"), filled("supplier").alias("supplier"),
+        filled("subject").alias("subject"), filled("mail_date").alias("mail_date"), end(F.struct("event_seq", why.alias("reason")), known | (kind == "note")).alias("why"),
+        end(F.struct("event_seq", "files"), F.col("files").isNotNull() & ~seed).alias("files"), F.sum("_n").alias("n"), F.coalesce(end(F.col("_before"), reset), F.lit(0)).alias("before"), F.min_by("_first", F.when(known | seed, seq)).alias("first_seen"), end(F.col("ts"), known).alias("ts"),
+    )
+    first = F.coalesce(F.col("seed.event_seq") == F.col("start"), F.lit(False))
+    seeded = lambda c: F.when(first, F.col(f"seed.{c}"))
+    later = lambda c: F.col(f"{c}.event_seq") > F.col("start")
+    on = lambda c: F.col(f"{c}.event_seq") >= F.col("start")
+    files = F.coalesce(F.when(on("files"), F.col("files.files")), seeded("files"), F.array().cast("array<string>"))
+    only_seed = F.col("own").isNull()
+    return a.where("start is not null").select(
+        "message_id", F.when(only_seed, seeded("status")).otherwise(F.col("status")).alias("status"), *[F.when(only_seed & ~first, None).otherwise(F.col(c)).alias(c) for c in ("supplier", "subject", "mail_date")],
+        F.when(on("why") & (~first | later("why")), F.col("why.reason")).otherwise(seeded("reason")).alias("reason"), (F.col("n") - F.col("before")).cast("int").alias("attempts"), F.size(files).alias("saved_count"), files.alias("files"),
+        "first_seen", F.coalesce("ts", seeded("ts")).alias("updated_at"),
     )
 
 

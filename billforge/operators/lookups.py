@@ -3,17 +3,20 @@
 Events: ``event_seq, ts, message_id, kind`` and, by kind, ``mail_date, header_date, sender, subject, invoice_no, lookup_code`` (upsert),
 ``status, pdf_file, error, not_found`` (result), ``dup_of`` (duplicate). Other kinds need nothing more: rearm (fetch again, by request),
 reset (found nothing so far counts no more), downloaded (fetched by hand), synced (it is in the master), original (no duplicate any more).
-All but upserts change known lookups only. A message's events are few; they are gathered by message and folded in order."""
+All but upserts change known lookups only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_code, norm_number
 from ..schema import DONE, DUPLICATE, LOOKUPS, PENDING
 from .dedupe import fold_dedupe, wildcard_semi
-from .ledger import pending
+from .ledger import STATE, pending
+from .numbering import running
 
 MASTER, BY_HAND, MANUAL_PREFIX = "MASTER", "MANUAL", "nhap-tay-"
 EVENTS = (
@@ -24,35 +27,59 @@ _FIELDS = [c.split() for c in LOOKUPS.split(", ")]
 _STATE = "struct<" + ",".join(f"{n}:{t}" for n, t in _FIELDS) + ">"
 
 
-def _next(s: Column, e: Column) -> Column:
-    """The lookup after an event; ``s`` is null before the first upsert."""
-    kind, none = e["kind"], F.lit(None)
+def state_events(lookups: DataFrame, upto: int = 0) -> DataFrame:
+    """Lookups of a snapshot as events that come before all later ones: all fields, each under its own name but ``_state``."""
+    return lookups.select(F.lit(upto).cast("bigint").alias("event_seq"), "message_id", F.lit(STATE).alias("kind"), F.struct(*[n for n, _ in _FIELDS]).alias("_state"))
+
+
+def fold_lookups(events: DataFrame, snapshot: DataFrame | None = None, upto: int = 0) -> DataFrame:
+    """Current lookups. An upsert keeps the state of the file unless the code changes; a result counts an attempt, and a done one ends a request.
+
+    With a ``snapshot``, the lookups that all events up to ``upto`` make, ``events`` are the later ones only. What an event does may hang on
+    the state before it in three ways: whether the lookup is known, which code it has, and whether its file is fetched. Running
+    values (``numbering.running``) answer the first two, then the third; after that every field is what the last event that sets
+    it says, an aggregate that is merged from parts. No lookup's events are gathered."""
+    e = events.withColumn("_state", F.lit(None).cast(_STATE))
+    if snapshot is not None:
+        e = e.unionByName(state_events(snapshot, upto), allowMissingColumns=True)
+    kind, seq, none = F.col("kind"), F.col("event_seq"), F.lit(None).cast("string")
     blank = lambda c: F.coalesce(c, F.lit(""))
-    upsert, result, rearm = kind == "upsert", kind == "result", kind == "rearm"
-    moved = upsert & F.coalesce(s["lookup_code"] != blank(e["lookup_code"]), F.lit(False))
-    fetched = (kind == "downloaded") & (blank(s["lookup_code"]) != "") & ~F.coalesce(s["pdf_status"], F.lit(PENDING)).isin(DONE, DUPLICATE)
-    marked, freed = kind == "duplicate", kind == "original"
-    zero = lambda c: F.coalesce(c, F.lit(0))
+    given = kind.isin("upsert", STATE)
+    held = lambda n: F.col(f"_state.{n}")
+    either = lambda n, own: F.when(kind == STATE, held(n)).otherwise(own)
+    code = either("lookup_code", blank(F.col("lookup_code")))
+    e = running(e, ["message_id"], "event_seq", last={"_prior": F.when(given, F.struct(code.alias("code")))}).where(given | F.col("_prior").isNotNull())
+    result, rearm, marked, freed, state = kind == "result", kind == "rearm", kind == "duplicate", kind == "original", kind == STATE
+    first = (kind == "upsert") & F.col("_prior").isNull()
+    moved = (kind == "upsert") & F.coalesce(F.col("_prior.code") != code, F.lit(False))
+    # what says the state of the file outright; a download by hand counts if it is the first after that, and there is something to fetch
+    outright = result | rearm | marked | freed | first | moved | state
+    says = F.when(result, F.col("status")).when(marked, DUPLICATE).when(state, held("pdf_status")).otherwise(PENDING)
+    missing = F.when(state, held("pdf_not_found")).otherwise((result & F.coalesce(F.col("not_found"), F.lit(False))).cast("int"))
+    e = e.withColumns({"_outright": outright, "_says": says, "_missing": F.coalesce(missing, F.lit(0)).cast("bigint")})
+    e = running(
+        e, ["message_id"], "event_seq", last={"_told": F.when(F.col("_outright"), F.struct("event_seq", F.col("_says").alias("status"))), "_by_hand": F.when(kind == "downloaded", F.struct("event_seq"))}, sums={"_lost": F.col("_missing")}
+    )
+    open_ = ~F.coalesce(F.col("_told.status"), F.lit(PENDING)).isin(DONE, DUPLICATE) & (blank(F.col("_prior.code")) != "")
+    fetched = (kind == "downloaded") & open_ & F.coalesce(F.col("_by_hand.event_seq") < F.col("_told.event_seq"), F.lit(True))
+    e = e.withColumn("_fetched", fetched)
+    fetched, reset, upsert = F.col("_fetched"), rearm | (kind == "reset") | state, kind == "upsert"
+    at = lambda x, of: F.max_by(x, F.when(of, seq))
+    number = lambda *cases: reduce(lambda no, x: F.when(x[0], F.lit(x[1]) if isinstance(x[1], int) else x[1]).otherwise(no), reversed(cases), F.lit(None).cast("int"))
+    date = either("mail_date", F.col("mail_date"))
+    done = result & F.coalesce(F.col("status") == DONE, F.lit(False))
     new = {
-        "message_id": e["message_id"], "mail_date": F.when(upsert, F.coalesce(e["mail_date"], s["mail_date"])).otherwise(s["mail_date"]),
-        **{n: F.when(upsert, e[n]).otherwise(s[n]) for n in ("header_date", "sender", "subject")}, **{n: F.when(upsert, blank(e[n])).otherwise(s[n]) for n in ("invoice_no", "lookup_code")},
-        "updated_at": F.when(upsert, e["ts"]).otherwise(s["updated_at"]),
-        "pdf_status": F.when(result, e["status"]).when(fetched, DONE).when(marked, DUPLICATE).when(rearm | freed | moved | s.isNull(), PENDING).otherwise(s["pdf_status"]),
-        "pdf_file": F.when(result, e["pdf_file"]).when(rearm | moved | marked, none).otherwise(s["pdf_file"]), "pdf_error": F.when(result, e["error"]).when(fetched, BY_HAND).when(rearm | marked, none).otherwise(s["pdf_error"]),
-        "pdf_attempts": zero(s["pdf_attempts"]) + result.cast("int"), "pdf_updated_at": F.when(result | fetched, e["ts"]).otherwise(s["pdf_updated_at"]),
-        "dup_of": F.when(marked, e["dup_of"]).when(rearm | freed, none).otherwise(s["dup_of"]), "master_synced": F.when(rearm, 0).when(kind == "synced", 1).otherwise(zero(s["master_synced"])),
-        "force_pdf": F.when(rearm, 1).when(result & (e["status"] == DONE), 0).otherwise(zero(s["force_pdf"])),
-        "pdf_not_found": F.when(rearm | (kind == "reset"), 0).otherwise(zero(s["pdf_not_found"]) + (result & F.coalesce(e["not_found"], F.lit(False))).cast("int")),
+        "mail_date": at(date, given & date.isNotNull()), **{n: at(either(n, F.col(n)), given) for n in ("header_date", "sender", "subject")}, **{n: at(either(n, blank(F.col(n))), given) for n in ("invoice_no", "lookup_code")},
+        "updated_at": at(either("updated_at", F.col("ts")), given), "pdf_status": at(F.when(fetched, DONE).otherwise(F.col("_says")), F.col("_outright") | fetched),
+        "pdf_file": at(F.when(result, F.col("pdf_file")).when(state, held("pdf_file")), result | rearm | moved | first | marked | state),
+        "pdf_error": at(F.when(result, F.col("error")).when(fetched, BY_HAND).when(state, held("pdf_error")), result | fetched | rearm | marked | state),
+        "pdf_attempts": F.sum(F.when(state, held("pdf_attempts")).otherwise(result.cast("int"))), "pdf_updated_at": at(either("pdf_updated_at", F.col("ts")), result | fetched | state),
+        "dup_of": at(F.when(marked, F.col("dup_of")).when(state, held("dup_of")).otherwise(none), marked | rearm | freed | state), "master_synced": at(number((state, held("master_synced")), (rearm, 0), (kind == "synced", 1)), rearm | (kind == "synced") | state),
+        "force_pdf": at(number((state, held("force_pdf")), (rearm, 1), (done, 0)), rearm | done | state), "pdf_not_found": F.sum("_missing") - F.coalesce(at(F.col("_lost") + F.when(state, 0).otherwise(F.col("_missing")), reset), F.lit(0)),
     }
-    return F.when(s.isNull() & ~upsert, s).otherwise(F.struct(*[new[n].cast(t).alias(n) for n, t in _FIELDS]).cast(_STATE))
-
-
-def fold_lookups(events: DataFrame) -> DataFrame:
-    """Current lookups. An upsert keeps the state of the file unless the code changes; a result counts an attempt, and a done one ends a request."""
-    names = [c.split()[0] for c in EVENTS.split(", ")]
-    e = events.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("event_seq", *[n for n in names if n != "event_seq"]))).alias("e"))
-    s = e.select(F.aggregate("e", F.lit(None).cast(_STATE), _next).alias("s"))
-    return s.where("s is not null").select("s.*")
+    counts = ("pdf_attempts", "master_synced", "force_pdf", "pdf_not_found")
+    out = e.groupBy("message_id").agg(*[x.alias(n) for n, x in new.items()])
+    return out.select(*[(F.coalesce(F.col(n), F.lit(0)) if n in counts else F.col(n)).cast(t).alias(n) for n, t in _FIELDS])
 
 
 def file_events(events: DataFrame) -> DataFrame:

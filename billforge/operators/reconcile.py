@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digits_key, fold_accents, norm_code, norm_number
 from ..schema import blank_cell, blank_value
-from .dedupe import fold_dedupe, wildcard
+from .dedupe import fold_dedupe
+from .matching import least_index, least_match
+from .numbering import number_rows
 
 #: Buyer keys that say there is no name.
 NO_NAMES = ("", "NAN", "NONE", "CAN KIEM TRA")
@@ -22,7 +24,7 @@ def _digits(c) -> Column:
 def buyer_unit(rows: DataFrame, units: DataFrame) -> DataFrame:
     """``buyer_name`` replaced by the unit that ``units(tax_id, unit)`` has for the tax id's digits; the first of equal ids."""
     u = units.groupBy(F.col("tax_id").alias("_tax")).agg(F.min("unit").alias("_unit"))
-    return rows.withColumn("_tax", _digits(F.col("buyer_tax_id"))).join(F.broadcast(u), "_tax", "left").withColumn("buyer_name", F.coalesce("_unit", "buyer_name")).drop("_tax", "_unit")
+    return rows.withColumn("_tax", _digits(F.col("buyer_tax_id"))).join(u, "_tax", "left").withColumn("buyer_name", F.coalesce("_unit", "buyer_name")).drop("_tax", "_unit")
 
 
 def with_identity(rows: DataFrame, units: DataFrame | None = None) -> DataFrame:
@@ -32,7 +34,7 @@ def with_identity(rows: DataFrame, units: DataFrame | None = None) -> DataFrame:
     accents and case, and blank where the name says that there is none. Series and number: upper case, digits without zeros."""
     if units is not None:
         u = units.groupBy(F.col("tax_id").alias("_tax")).agg(F.min("unit").alias("_unit"))
-        rows = rows.withColumn("_tax", F.substring(_digits(F.col("buyer_tax_id")), 1, 10)).join(F.broadcast(u), "_tax", "left").drop("_tax")
+        rows = rows.withColumn("_tax", F.substring(_digits(F.col("buyer_tax_id")), 1, 10)).join(u, "_tax", "left").drop("_tax")
     name = F.coalesce("_unit", "buyer_name") if units is not None else F.col("buyer_name")
     key = F.trim(F.regexp_replace(F.upper(fold_accents(name)), "[^A-Z0-9]+", " "))
     out = rows.withColumns({
@@ -60,10 +62,13 @@ def priority_union(sources: list[DataFrame], order: list[str], id_col: str, unit
 
 def first_match(incoming: DataFrame, existing: DataFrame, in_id: str, ex_id: str, ex_order: str, units: DataFrame | None = None) -> DataFrame:
     """``(in_id, ex_id)``: the first existing row of the same series and number whose buyer and seller fit."""
-    a = with_identity(incoming, units).select(in_id, "series_key", "number_key", F.col("buyer_key").alias("_b"), F.col("seller_key").alias("_s")).where("number_key <> ''")
-    b = with_identity(existing, units).select(ex_id, F.col(ex_order).alias("_o"), "series_key", "number_key", "buyer_key", "seller_key")
-    hit = a.join(b, ["series_key", "number_key"]).where(wildcard(F.col("_b"), F.col("buyer_key")) & wildcard(F.col("_s"), F.col("seller_key")))
-    return hit.groupBy(in_id).agg(F.min_by(ex_id, "_o").alias(ex_id))
+    exact, loose = ["series_key", "number_key"], ["buyer_key", "seller_key"]
+    a = with_identity(incoming, units).where("number_key <> ''")
+    b = with_identity(existing, units).where("number_key <> ''").withColumn("_o", F.struct(F.col(ex_order).alias("o"), F.col(ex_id).alias("id")))
+    # rows of equal keys find the same: each different key asks once
+    asked = a.select(*exact, *loose).distinct()
+    hit = least_match(asked, least_index(b, exact, loose, {"_o": F.col("_o")}), exact, loose, ["_o"], [*exact, *loose])
+    return a.join(hit, [*exact, *loose]).select(in_id, F.col("_o.id").alias(ex_id))
 
 
 def merge_xml(existing: DataFrame, incoming: DataFrame, order: str, fields: tuple[str, ...], units: DataFrame | None = None) -> DataFrame:
@@ -118,14 +123,8 @@ def prefix_lookup(rows: DataFrame, names: DataFrame, name: str = "name") -> Data
 
 
 def continue_sequence(new: DataFrame, last: int, order: list) -> DataFrame:
-    """``new`` with ``seq``, from ``last`` + 1 on in the given order. Rows are numbered within ranges of the first order column and
-    the ranges' counts summed up, so that no task holds more than a range."""
-    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    # a partition's number may differ from one run of the plan to the next, its rows' order may not: count from the same plan
-    per = ranged.groupBy("_part").agg(F.count("*").alias("_c"))
-    so_far = per.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))
-    return ranged.join(F.broadcast(so_far), "_part").withColumn("seq", F.lit(last) + F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
+    """``new`` with ``seq``, from ``last`` + 1 on in the given order (``numbering.number_rows``)."""
+    return number_rows(new, order, last)
 
 
 def last_filled(rows: DataFrame, position: str, *columns: str) -> DataFrame:

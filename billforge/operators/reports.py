@@ -112,7 +112,7 @@ def issue_sheets(rows: DataFrame) -> dict[str, DataFrame]:
 def export_sheets(lookups: DataFrame) -> dict[str, DataFrame]:
     """The sheets of a lookup workbook: numbered rows, and a block of counts."""
     rows = lookup_export(lookups)
-    numbered = continue_sequence(rows.withColumn("_date", blank("mail_date")), 0, [F.desc("_date"), F.asc("message_id")]).drop("_date")
+    numbered = continue_sequence(rows.withColumn("_date", blank("mail_date")), 0, [("_date", "desc"), "message_id"]).drop("_date")
     return {"lookups": numbered, "summary": export_summary(lookups)}
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_key, message_link
 from ..schema import DONE, DUPLICATE, PENDING, nz
 from .dedupe import numbered_names
+from .numbering import number_rows
 
 #: Folders that hold pages which are not read again, and the order of CSV columns.
 READ_FOLDERS = ("hoadon_petrolimex", "da_rap_xml", "cac_hang_khac", "trung_lap")
@@ -82,21 +83,21 @@ def filled_stems(rows: DataFrame) -> DataFrame:
 
 
 # ---- files
-def move_plan(files: DataFrame, present: DataFrame) -> DataFrame:
-    """``files(stem, suffix, sha1, target)`` moved to folders that hold ``present(folder, stem, suffix, sha1)``: ``action`` is drop where the same
-    file is there, else move, under the name or, where it is taken, the first free ``stem_k`` from 2 on.
-
-    Names taken are looked up as stems with numbers, so each file meets only its own name's takers."""
-    number = F.when(F.regexp_extract("stem", r"_(\d+)$", 1) != "", F.regexp_extract("stem", r"_(\d+)$", 1).try_cast("int"))
-    there = present.select(F.col("folder").alias("target"), "suffix", "stem", F.col("sha1").alias("_sha1"))
-    own = there.select("target", "suffix", "stem", "_sha1")
-    j = files.join(own, ["target", "stem", "suffix"], "left")
-    tails = there.withColumns({"base": F.regexp_replace("stem", r"_\d+$", ""), "k": number}).where("k >= 2").groupBy("target", "suffix", F.col("base").alias("stem")).agg(F.sort_array(F.collect_set("k")).alias("taken"))
-    j = j.join(tails, ["target", "stem", "suffix"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
-    free = F.get(F.array_except(F.sequence(F.lit(2), F.size("taken") + 2), F.col("taken")), F.lit(0))
-    same = F.coalesce(F.col("sha1") == F.col("_sha1"), F.lit(False))
-    name = F.when(F.col("_sha1").isNull() | same, F.concat_ws(".", "stem", "suffix")).otherwise(F.concat(F.col("stem"), F.lit("_"), free, F.lit("."), F.col("suffix")))
-    return j.select(*files.columns, F.when(same, "drop").otherwise("move").alias("action"), name.alias("name"))
+def move_plan(files: DataFrame, present: DataFrame, order: str = "sha1") -> DataFrame:
+    """``files(stem, suffix, sha1, target)`` moved to folders that hold ``present(folder, stem, suffix, sha1)``, with ``action`` and ``name``.
+
+    The holder of a name is the file that has it in the folder, else the first one of the batch. Others with the holder's content are
+    dropped; those of another content get ``stem_k``, the least free number from 2 on, against the folder and the whole batch."""
+    whole = F.concat_ws(".", F.col("stem"), nz("suffix")).alias("_name")
+    there = present.select(F.col("folder").alias("_t"), whole, "sha1").groupBy("_t", "_name").agg(F.min("sha1").alias("_there"))
+    asked = number_rows(files.select("*", whole), list(dict.fromkeys([order, "sha1"])), by=["target", "_name"], out="_k")
+    first = asked.where("_k = 1").select(F.col("target").alias("_t"), "_name", F.col("sha1").alias("_first"))
+    j = asked.withColumn("_t", F.col("target")).join(there, ["_t", "_name"], "left").join(first, ["_t", "_name"])
+    j = j.withColumn("action", F.when(F.col("_there").isNull() & (F.col("_k") == 1), "move").when(F.col("sha1") == F.coalesce("_there", "_first"), "drop").otherwise("rename"))
+    taken = there.select(F.col("_t").alias("target"), "_name").union(first.select(F.col("_t").alias("target"), "_name"))
+    kept = j.where("action <> 'rename'").select(*files.columns, "action", F.col("_name").alias("name"))
+    named = numbered_names(j.where("action = 'rename'").select(*files.columns, "_name", "_k"), "target", "_name", "_k", taken, 2)
+    return kept.union(named.select(*files.columns, F.lit("move").alias("action"), F.col("unique_name").alias("name")))
 
 
 def xml_saves(files: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def folder_stats(files: DataFrame, results: DataFrame) -> DataFrame:
     last = results.groupBy("folder").agg(F.max("mtime").alias("_last"))
     pdf = F.lower("suffix") == "pdf"
     newer = pdf & (F.col("_last").isNull() | (F.col("mtime") > F.col("_last")))
-    return files.join(F.broadcast(last), "folder", "left").groupBy("folder").agg(F.count_if(pdf).alias("pdf"), F.count_if(F.lower("suffix") == "xml").alias("xml"), F.count_if(newer).alias("new_pdf"), F.max("_last").alias("last_result"))
+    return files.join(last, "folder", "left").groupBy("folder").agg(F.count_if(pdf).alias("pdf"), F.count_if(F.lower("suffix") == "xml").alias("xml"), F.count_if(newer).alias("new_pdf"), F.max("_last").alias("last_result"))
 
 
 def group_class(c) -> Column:

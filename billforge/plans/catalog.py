@@ -238,13 +238,13 @@ def line_sum_fallback(spark, sf):
     return work.line_total(lines.withColumn("kind", F.when(F.col("l_linenumber") % 5 == 3, "4").when(F.col("l_linenumber") % 2 == 0, "1")), "l_orderkey", "amount", "kind")
 
 
-@query("select o_orderkey, case o_orderkey % 4 when 2 then greatest(a, 7) else a end picked from (select o_orderkey, cast(floor(o_totalprice) as bigint) a from orders) where a >= 1000")
+@query("select o_orderkey, case o_orderkey % 4 when 2 then greatest(a, 7) else a end picked from (select o_orderkey, 1000 + cast(floor(o_totalprice) as bigint) a from orders)")
 def vat_solver(spark, sf):
     """Amount, tax and sum; tax and sum alone; the amount alone with a small other one; all three in another order, twice."""
-    a, k = F.floor("o_totalprice").cast("bigint"), F.col("o_orderkey") % 4
+    a, k = (1000 + F.floor("o_totalprice")).cast("bigint"), F.col("o_orderkey") % 4
     tax = F.round(a / 10).cast("bigint")
     cands = F.when(k == 0, F.array(a, tax, a + tax)).when(k == 1, F.array(tax, a + tax)).when(k == 2, F.array(a, F.lit(7).cast("bigint"))).otherwise(F.array(a + tax, a, tax, a, tax))
-    return table(spark, sf, "orders").where("floor(o_totalprice) >= 1000").select("o_orderkey", extract.pick_pre_tax(cands).alias("picked"))
+    return table(spark, sf, "orders").select("o_orderkey", extract.pick_pre_tax(cands).alias("picked"))
 
 
 _XML_SQL = """
@@ -360,10 +360,11 @@ def run_summary(spark, sf):
     ))
 
 
-@query("select row_number() over (order by o_orderdate, o_orderkey) + 100 seq, o_orderkey from orders where o_orderstatus = 'P'")
+@query("select row_number() over (order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) + 100 seq, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate from lineitem")
 def continue_sequence(spark, sf):
-    rows = table(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate")
-    return reconcile.continue_sequence(rows, 100, ["o_orderdate", "o_orderkey"]).select("seq", "o_orderkey")
+    """All line items with what they hold, numbered by day, order and line; days are shared by many."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+    return reconcile.continue_sequence(rows, 100, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
 
 
 # ---- the lookup ledger
@@ -557,15 +558,27 @@ def group_counts(spark, sf):
     return work.group_counts(table(spark, sf, "orders").select(F.when(k == 0, "Petrolimex").when(k == 1, "Không có XML (v25)").when(k == 2, "Các hãng khác").alias("group")))
 
 
-@query("select p_partkey, case when p_partkey % 3 = 0 then 'drop' else 'move' end action, case when p_partkey % 3 = 1 then 'p' || cast(p_partkey as varchar) || case when p_partkey % 2 = 0 then '_2.pdf' else '_3.pdf' end else 'p' || cast(p_partkey as varchar) || '.pdf' end name from part")
+_MOVES_SQL = """
+with f as (select p_partkey, 't' || cast(p_partkey % 7 as varchar) target, case when p_partkey % 11 = 0 then 'p' || cast(p_partkey % 300 as varchar) || '_2' else 'p' || cast(p_partkey % 300 as varchar) end stem, 'h' || cast(p_partkey % 4 as varchar) sha1 from part),
+t as (select distinct 't' || cast(p_partkey % 7 as varchar) target, case when p_partkey % 2 = 0 then 'p' || cast(p_partkey % 300 as varchar) else 'p' || cast(p_partkey % 300 as varchar) || '_3' end stem, 'h1' sha1 from part where p_size % 10 = 0),
+k as (select f.*, t.sha1 there, row_number() over (partition by target, stem order by p_partkey) k, first_value(f.sha1) over (partition by target, stem order by p_partkey) first from f left join t using (target, stem)),
+a as (select *, case when there is null and k = 1 then 'move' when sha1 = coalesce(there, first) then 'drop' else 'rename' end act from k),
+every as (select target, stem from f union select target, stem from t),
+r as (select *, row_number() over (partition by target, stem order by k) r from a where act = 'rename'),
+taken as (select s.target, s.stem, list(cast(substr(e.stem, length(s.stem) + 2) as bigint)) taken from (select distinct target, stem from r) s join every e on e.target = s.target and regexp_full_match(e.stem, s.stem || '_[1-9][0-9]*') group by 1, 2)
+select p_partkey, act as action, stem || '.pdf' as name from a where act <> 'rename'
+union all select p_partkey, 'move', stem || '_' || cast(list_filter(range(2, len(coalesce(taken, [])) + r + 2), lambda x: not list_contains(coalesce(taken, []), x))[r] as varchar) || '.pdf' from r left join taken using (target, stem)
+"""
+
+
+@query(_MOVES_SQL)
 def file_moves(spark, sf):
-    """Moves into a folder: the same file is there, another of its name (perhaps with ``_2`` too), or none."""
+    """Moves of one batch into folders that hold files: names meet in the batch and in the folder, with and without a number, of equal and other content."""
     p, k = table(spark, sf, "part"), F.col("p_partkey")
-    stem = F.concat(F.lit("p"), k.cast("string"))
-    files = p.select(k.alias("p_partkey"), stem.alias("stem"), F.lit("pdf").alias("suffix"), F.sha1(stem).alias("sha1"), F.lit("t").alias("target"))
-    there = p.where(k % 3 < 2).select(F.lit("t").alias("folder"), stem.alias("stem"), F.lit("pdf").alias("suffix"), F.when(k % 3 == 0, F.sha1(stem)).otherwise("other").alias("sha1"))
-    second = p.where((k % 3 == 1) & (k % 2 == 1)).select(F.lit("t").alias("folder"), F.concat(stem, F.lit("_2")).alias("stem"), F.lit("pdf").alias("suffix"), F.lit("x").alias("sha1"))
-    return work.move_plan(files, there.union(second)).select("p_partkey", "action", "name")
+    folder, stem = F.concat(F.lit("t"), (k % 7).cast("string")), F.concat(F.lit("p"), (k % 300).cast("string"))
+    files = p.select(k.alias("p_partkey"), F.when(k % 11 == 0, F.concat(stem, F.lit("_2"))).otherwise(stem).alias("stem"), F.lit("pdf").alias("suffix"), F.concat(F.lit("h"), (k % 4).cast("string")).alias("sha1"), folder.alias("target"))
+    there = p.where("p_size % 10 = 0").select(folder.alias("folder"), F.when(k % 2 == 0, stem).otherwise(F.concat(stem, F.lit("_3"))).alias("stem"), F.lit("pdf").alias("suffix"), F.lit("h1").alias("sha1")).distinct()
+    return work.move_plan(files, there, "p_partkey").select("p_partkey", "action", "name")
 
 
 @query("select lower(id) key, min(id) id, bool_or(s = 0) builtin, bool_or(s = 1) in_config, bool_or(s = 2) custom, coalesce(arg_max(nullif(email, ''), s) filter (where email <> ''), '') email from (select 'N' || cast(n_nationkey as varchar) id, 0 s, '' email from nation union all select 'n' || cast(n_nationkey as varchar), 1, case when n_nationkey % 2 = 0 then 'c' else '' end from nation where n_nationkey % 3 > 0 union all select 'n' || cast(n_nationkey as varchar), 2, case when n_nationkey % 5 = 0 then 'u' else '' end from nation where n_nationkey % 4 > 0) group by 1")

@@ -106,10 +106,10 @@ def xml_to_pdf_names(spark, sf):
     return filenames.match_stems(rows, stems).select("p_partkey", "pdf_stem")
 
 
-@query("select p_partkey, case when p_partkey % 3 = 0 then 'DUPLICATE' when p_partkey % 3 = 1 then 'XML' else 'NO_XML' end target from part where p_size > 10 and p_partkey >= 100")
+@query("select p_partkey, case when p_partkey % 3 = 0 then 'DUPLICATE' when p_partkey % 3 = 1 then 'XML' else 'NO_XML' end target from (select p_partkey + 1000 p_partkey, p_size from part) where p_size > 10")
 def layout_split(spark, sf):
     """Files of an XML row, files whose name repeats one, and others; old files are left out."""
-    p, k = table(spark, sf, "part").where("p_partkey >= 100"), F.col("p_partkey")
+    p, k = table(spark, sf, "part").withColumn("p_partkey", F.col("p_partkey") + 1000), F.col("p_partkey")
     stem = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
     name = F.when(k % 3 == 0, F.concat(F.lit("copy C26TAA-"), (k + 100_000).cast("string"))).when(k % 3 == 1, stem("own", k)).otherwise(stem("other", k))
     rows = p.where(k % 3 == 1).select(stem("own", k).alias("file_stem"), k.alias("ord"), F.lit("1C26TAA").alias("series"), k.cast("string").alias("invoice_no"))
@@ -118,15 +118,31 @@ def layout_split(spark, sf):
     return out.select("p_partkey", "target")
 
 
-@query("select p_partkey, case when rn = 1 then 'n.pdf' else 'n_' || cast(rn - 1 as varchar) || '.pdf' end unique_name from (select p_partkey, row_number() over (partition by p_brand order by p_partkey) rn from part)")
+_NAMES_SQL = """
+with f as (select p_partkey id, p_brand folder, case p_size % 5 when 0 then 'n' when 1 then 'n_' || cast(p_size % 7 as varchar) when 2 then 'n_1_1' else 'n' end stem, case when p_size % 3 = 0 then '' else '.pdf' end ext from part),
+t as (select distinct p_brand folder, case when p_size = 50 then 'n' else 'n_3' end stem, '.pdf' ext from part where p_size in (49, 50)),
+a as (select f.*, t.folder is not null held, row_number() over (partition by folder, stem, ext order by id) k from f left join t using (folder, stem, ext)),
+every as (select folder, stem, ext from f union select folder, stem, ext from t),
+r as (select *, k - case when held then 0 else 1 end r from a where held or k > 1),
+taken as (select s.folder, s.stem, s.ext, list(cast(substr(e.stem, length(s.stem) + 2) as bigint)) taken from (select distinct folder, stem, ext from r) s join every e on e.folder = s.folder and e.ext = s.ext and regexp_full_match(e.stem, s.stem || '_[1-9][0-9]*') group by 1, 2, 3)
+select id p_partkey, stem || ext unique_name from a where not held and k = 1
+union all select id, stem || '_' || cast(list_filter(range(1, len(coalesce(taken, [])) + r + 1), lambda x: not list_contains(coalesce(taken, []), x))[r] as varchar) || ext from r left join taken using (folder, stem, ext)
+"""
+
+
+@query(_NAMES_SQL)
 def unique_names(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("folder"), F.lit("n.pdf").alias("name"))
-    return dedupe.numbered_names(p, order="p_partkey").select("p_partkey", "unique_name")
+    """Names that end in numbers, with and without a suffix, in folders that hold some of them."""
+    p, size = table(spark, sf, "part"), F.col("p_size")
+    stem = F.when(size % 5 == 1, F.concat(F.lit("n_"), (size % 7).cast("string"))).when(size % 5 == 2, "n_1_1").otherwise("n")
+    names = p.select("p_partkey", F.col("p_brand").alias("folder"), F.concat(stem, F.when(size % 3 == 0, "").otherwise(".pdf")).alias("name"))
+    there = p.where("p_size in (49, 50)").select(F.col("p_brand").alias("folder"), F.when(size == 50, "n.pdf").otherwise("n_3.pdf").alias("name"))
+    return dedupe.numbered_names(names, order="p_partkey", present=there).select("p_partkey", "unique_name")
 
 
-@query("select p_partkey, case when n = 1 then 'b' || p_brand else 'b' || p_brand || '_p' || cast(rn as varchar) end \"alias\" from (select *, count(*) over (partition by p_brand) n, row_number() over (partition by p_brand order by lpad(cast(p_partkey as varchar), 9, '0')) rn from part where p_size % 2 = 0)")
+@query("select p_partkey, case when n = 1 then 'b' || p_brand else 'b' || p_brand || '_p' || cast(rn as varchar) end \"alias\" from (select *, count(*) over (partition by p_brand) n, row_number() over (partition by p_brand order by lpad(cast(p_partkey as varchar), 9, '0')) rn from part)")
 def page_aliases(spark, sf):
-    p = table(spark, sf, "part").where("p_size % 2 = 0")
+    p = table(spark, sf, "part")
     f = p.select("p_partkey", F.concat(F.lit("/in/b"), F.col("p_brand")).alias("folder"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("stem"), F.lit("pdf").alias("suffix")).withColumn("name", F.concat("stem", F.lit(".pdf")))
     return files.page_inputs(f, "/in").select("p_partkey", "alias")
 
