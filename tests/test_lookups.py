@@ -75,7 +75,7 @@ def test_engine_changes(spark, tmp_path):
     assert e.seed(["a", "b"], "S", "t1") == 2 and e.seed(["b", "c"], "S", "t2") == 1
     assert e.mark(["a", "z"], "PENDING", "t3") == 2
     up = events(spark, *[{"message_id": m, "kind": "upsert", "lookup_code": "K", "invoice_no": n} for m, n in (("a", "1"), ("b", ""), ("c", "2"))])
-    assert e._append(up, "lookup_events", "t4") == 3
+    assert e.save_lookups(up, "t4") == 3
     assert e.dedupe("t5").first() == (1, 1) and {r.message_id: r.pdf_status for r in e.lookups().collect()}["b"] == "DUPLICATE"
     assert e.dedupe("t6").first() == (1, 0)
     assert {r.message_id: r.reason for r in e.messages().collect()}["b"] == "LOOKUP_DUPLICATE:a"
