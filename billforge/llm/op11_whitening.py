@@ -6,7 +6,7 @@ are added up by Spark, one row a prime and matrix entry, and Chinese remainderin
 many primes as their bound asks. The covariance is formed from these integers and rounded once. The driver holds matrices of the vectors' dimension, and no vector.
 
 Cases: null vectors and those with a null, a NaN or an infinite entry are dropped, and so are empty ones and those whose length
-is not the most common one (of equally common ones, the greatest); 64 * c is kept within 2**62 either way; components whose eigenvalue is
+is not the most common one (of equally common ones, the greatest); 64 * c is kept within 2**61 either way; components whose eigenvalue is
 not above 1e-11 of the greatest are left out, as equal vectors have no direction; an empty table gives no rows; repeated rows count
 and are returned as often as they stand; ids may be null and of any type; extra columns are not read; deviations beyond a long are null.
 """
@@ -38,7 +38,7 @@ def integers(vectors: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     values = vectors.filter(pa.array(own)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, size)
     finite = np.isfinite(values).all(axis=1)
     own[own] = finite
-    whole = np.clip(np.floor(SCALE * values[finite]), -(2.0**62), 2.0**62)
+    whole = np.clip(np.floor(SCALE * values[finite]), -(2.0**61), 2.0**61)
     return own, whole.astype(np.int64) + SHIFT
 
 
@@ -74,8 +74,17 @@ class Whitening:
         return ((self.n * self.scatter - np.outer(self.sums, self.sums)) / (self.n * self.n)).astype(float)
 
     @cached_property
-    def mean(self) -> np.ndarray:
-        return (self.sums / self.n).astype(float)
+    def _whole(self) -> np.ndarray:
+        """The mean's integer part."""
+        return np.array([int(s) // self.n for s in self.sums], np.int64)
+
+    @cached_property
+    def _rest(self) -> np.ndarray:
+        return np.array([int(s) % self.n for s in self.sums], object)
+
+    def centred(self, x: np.ndarray) -> np.ndarray:
+        """``x`` less the mean; integers are subtracted first, so vectors far from zero lose nothing."""
+        return (x - self._whole).astype(float) - (self._rest / self.n).astype(float)
 
     @cached_property
     def eigen(self) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +104,10 @@ class Whitening:
 
     def deviations(self, x: np.ndarray) -> list[int | None]:
         """Exact squared distance of ``n * x`` from the sums."""
-        far = max((abs(int(x.max()) * self.n - int(self.sums.min())), abs(int(x.min()) * self.n - int(self.sums.max())), self.n * max(abs(int(x.max())), abs(int(x.min())))), default=0)
-        kind = np.int64 if far < 2**62 and far * far * x.shape[1] < 2**63 else object
-        own = ((self.n * x.astype(kind) - self.sums.astype(kind)) ** 2).sum(axis=1)
+        near = x - self._whole
+        far = (max(abs(int(near.max())), abs(int(near.min()))) + 1) * self.n
+        kind = np.int64 if far * far * x.shape[1] < 2**63 else object
+        own = ((self.n * near.astype(kind) - self._rest.astype(kind)) ** 2).sum(axis=1)
         return [v if v < 2**63 else None for v in own.tolist()]
 
 
@@ -163,30 +173,30 @@ def fit(df: DataFrame, vector: str = "embedding", components: int = COMPONENTS)
 
 def transform(df: DataFrame, model: Whitening, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``id, deviation, whitened`` of every row whose vector the model takes; ``whitened`` has an entry a component."""
-    size, mean, matrix = len(model.sums), model.mean, model.matrix()
+    size, matrix, own_mean = len(model.sums), model.matrix(), Whitening(model.n, model.sums, np.zeros(0), 0)
     schema = T.StructType([T.StructField("id", df.schema[id].dataType), T.StructField("deviation", T.LongType()), T.StructField("whitened", T.ArrayType(T.DoubleType()))])
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, x = integers(batch.column(1), size)
             if len(x):
-                z = (x - mean) @ matrix
+                z = own_mean.centred(x) @ matrix
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(own)), pa.array(model.deviations(x), pa.int64()), lists], names=["id", "deviation", "whitened"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(own)), pa.array(own_mean.deviations(x), pa.int64()), lists], names=["id", "deviation", "whitened"])
 
     return df.select(F.col(id).alias("id"), F.col(vector).alias("x")).mapInArrow(project, schema)
 
 
 def identity_error(df: DataFrame, model: Whitening, vector: str = "embedding") -> float:
     """The greatest absolute entry of the covariance of all whitened vectors minus the identity. What is multiplied is centred."""
-    size, mean, matrix = len(model.sums), model.mean, model.matrix()
+    size, matrix, own_mean = len(model.sums), model.matrix(), Whitening(model.n, model.sums, np.zeros(0), 0)
     schema, ddl = _parts(pa.float64())
     width = matrix.shape[1]
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1, width + 1, width + 1))
         for batch in batches:
-            z = (integers(batch.column(0), size)[1] - mean) @ matrix
+            z = own_mean.centred(integers(batch.column(0), size)[1]) @ matrix
             z = np.hstack([np.ones((len(z), 1)), z])
             total[0] += z.T @ z
         yield _rows(schema, total)

@@ -6,7 +6,7 @@ fingerprinted. Fingerprints are cut into RADIUS + 1 blocks, one of which is equa
 pairs that share a block and lie within it are verified by exact weighted-shingle similarity: the sum of the
 smaller shingle counts over the sum of the larger ones.
 
-Cases: null and empty texts are clean; items without words match nothing; items shorter than a shingle are one
+Cases: null and empty texts are clean; texts of any length are taken whole, and one shorter than an item is its only window; of several items that fit all are named; items without words match nothing; items shorter than a shingle are one
 shingle; repeated rows get equal verdicts, and rows that repeat an id get their own; an empty table gives no rows,
 an empty benchmark leaves all clean; extra columns are not read by the query and are kept by the stage.
 """
@@ -72,12 +72,13 @@ def hits(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radi
     h = docs.select("_key", _hashes(_words(F.col("text"))).alias("wh"))
     seeds = None
     for k in sizes:
-        s = h.select("_key", F.posexplode(_shingles(F.col("wh"), k)).alias("pos", "h"))
-        s = s.join(F.broadcast(keys) if small else keys, "h").select("_key", "item_id", "h", (F.col("pos") - F.col("off")).alias("start"))
+        s = h.select("_key", F.size("wh").alias("len"), F.posexplode(_shingles(F.col("wh"), k)).alias("pos", "h"))
+        s = s.join(F.broadcast(keys) if small else keys, "h").select("_key", "item_id", "h", "len", (F.col("pos") - F.col("off")).alias("start"))
         seeds = s if seeds is None else seeds.union(s)
-    # at the similarity, the shared counts are at least 2 s / (1 + s) of an item's; of distinct shingles one at least
-    found = seeds.groupBy("_key", "item_id").agg(F.collect_set("start").alias("starts"), F.count("*").alias("hits"))
-    found = found.join(it.select("item_id", F.size("s").alias("m"), "n"), "item_id").where(F.col("hits") >= F.ceil(2 * similarity / (1 + similarity) * F.col("m") - 1e-9))
+    # at the similarity s, item and window share at least s / (1 + s) of their shingles together; the window of a text shorter than the item is the text
+    found = seeds.groupBy("_key", "item_id").agg(F.collect_set("start").alias("starts"), F.count("*").alias("hits"), F.max("len").alias("len"))
+    window = F.greatest(F.least("n", "len") - F.least("n", F.lit(SHINGLE)) + 1, F.lit(0))
+    found = found.join(it.select("item_id", F.size("s").alias("m"), "n"), "item_id").where(F.col("hits") >= F.ceil(similarity / (1 + similarity) * (F.col("m") + window) - 1e-9))
     found = common.materialize(found.groupBy("_key").agg(F.collect_list(F.struct("item_id", "n", "starts")).alias("found")), "seeds")
     # windows of the texts that hold seeds enough
     texts = docs.join(found, "_key").dropDuplicates(["_key"]).withColumn("wh", _hashes(_words(F.col("text"))))

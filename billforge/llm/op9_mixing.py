@@ -8,7 +8,7 @@ permutation of each source's blocks, drawn by a seeded hash, and orders its rows
 it holds one row a source, and no other data.
 
 Cases: null and empty texts have size 0 and are taken 0 words; a null source comes last; repeated rows are
-rows of their own; sources without words, and empty tables, have target 0; extra columns are not read by the
+rows of their own; texts of any length are taken whole; of equal hashes the row numbered first goes first; sources without words, and empty tables, have target 0; extra columns are not read by the
 query and are kept by the stage, whatever their names.
 """
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS, MOST, SHARDS, SEED, BLOCK = (1, 2, 3), 3, 16, 9, 64
+#: Share of a source's target that the first documents may leave open.
+NEAR = 0.001
 #: Sources up to which a table of one row a source is broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 10_000
 
@@ -79,6 +81,24 @@ def split_quotas(blocks: list[int], shards: int, rng: random.Random) -> list[lis
     return split_quotas(mine, left, rng) + split_quotas([a - b for a, b in zip(blocks, mine, strict=True)], shards - left, rng)
 
 
+def _later(r: DataFrame, fit: DataFrame, few) -> DataFrame | None:
+    """``(_n, src, size, place)`` of the documents behind the first that doesn't fit which fit what is left open, for sources that miss more than ``NEAR`` of
+    their target; ``place`` counts from 0. Each round takes, in order, as many as fit; none fits after the last."""
+    left, taken = fit.select("src", (F.col("left") - F.col("got")).alias("gap"), F.lit(0).cast("long").alias("count"), (NEAR * F.col("target")).alias("least"), "fit"), None
+    while left.where("gap > least and gap >= 1").limit(1).count():
+        rest = r.select("_n", "src", "size", "_key", "rank").join(few(left.where("gap > least")), "src").where((F.col("rank") > F.col("fit")) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+        rest = rest.drop("rank", "fit", "least")
+        rest = rest if taken is None else rest.join(taken.select("_n"), "_n", "left_anti")
+        fits = F.col("before") + F.col("size") <= F.col("gap")
+        new = common.materialize(common.ranked(rest, ["src"], "_key", ["_n"], weight="size").where(fits).select("_n", "src", "size", (F.col("count") + F.col("rank") - 1).alias("place")), "later")
+        got = new.groupBy("src").agg(F.sum("size").alias("_got"), F.count("*").alias("_c"))
+        if not new.limit(1).count():
+            break
+        taken = new if taken is None else taken.union(new)
+        left = common.materialize(left.join(few(got), "src").select("src", (F.col("gap") - F.col("_got")).alias("gap"), (F.col("count") + F.col("_c")).alias("count"), "least", "fit"), "left")
+    return taken
+
+
 def mix_documents(base: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``base(_n, src, size, _key)``, a written table of rows numbered ``_n`` → ``(_n, size, source_size, target, taken)`` for every row, and a row for
     each copy that the mix takes: ``(_n, shard, order_key)``, the place within a shard being that of the key."""
@@ -91,24 +111,33 @@ def mix_documents(base: DataFrame, shards: int = SHARDS, seed: int = SEED, block
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     r = common.materialize(r.withColumn("passes", passes).withColumn("left", F.col("target") - passes * F.col("source_size")), "mix")
 
-    # the partial pass: the documents that fit, in order, then the one that comes nearest to what is still missing
+    # the partial pass: documents that fit, in order; where that leaves too much open, those that fit what is left, again and again, each time
+    # in order; then the one that comes nearest to what is still missing
     fits = F.col("before") + F.col("size") <= F.col("left")
-    fit = r.groupBy("src").agg(F.first("n").alias("n"), F.first("passes").alias("passes"), F.first("left").alias("left"), F.sum(fits.cast("long")).alias("fit"), F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0)).alias("got"))
+    fit = r.groupBy("src").agg(F.first("n").alias("n"), F.first("passes").alias("passes"), F.first("left").alias("left"), F.first("target").alias("target"), F.sum(fits.cast("long")).alias("fit"), F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0)).alias("got"))
+    fit = common.materialize(fit.withColumn("more", F.lit(0).cast("long")), "fit")
+    later = _later(r, fit, few)
+    if later is not None:
+        added = later.groupBy("src").agg(F.count("*").alias("_more"), F.sum("size").alias("_got"))
+        fit = fit.join(few(added), "src", "left").select("src", "n", "passes", "left", "fit", (F.col("got") + F.coalesce("_got", F.lit(0))).alias("got"), F.coalesce("_more", F.lit(0)).alias("more"))
+        r = r.join(later.select("_n", F.col("place").alias("_place")), "_n", "left")
+    else:
+        r = r.withColumn("_place", F.lit(None).cast("long"))
     gap = F.abs(F.col("size") - (F.col("left") - F.col("got")))
-    near = r.select("src", "rank", "size").join(few(fit), "src").where((F.col("rank") > F.col("fit")) & (gap < F.col("left") - F.col("got")))
+    near = r.where("_place is null").select("src", "rank", "size").join(few(fit), "src").where((F.col("rank") > F.col("fit")) & (gap < F.col("left") - F.col("got")))
     near = near.groupBy("src").agg(F.min_by("rank", F.struct(gap, F.col("rank"))).alias("extra"))
     took = fit.join(near, "src", "left").orderBy("src").collect()  # one row a source
-    blocks = [-(-(x.passes * x.n + x.fit + (x.extra is not None)) // block) for x in took]
+    blocks = [-(-(x.passes * x.n + x.fit + x.more + (x.extra is not None)) // block) for x in took]
     quotas = split_quotas(blocks, shards, random.Random(seed))
     ends = [list(itertools.accumulate(q[i] for q in quotas)) for i in range(len(took))]
-    plan = [(x.src["none"], x.src["name"], x.fit, x.extra or 0, n, e) for x, n, e in zip(took, blocks, ends, strict=True)]
-    plan_rows = spark.createDataFrame(plan, "none boolean, name string, fit long, extra long, blocks long, ends array<long>").select(F.struct("none", "name").alias("src"), "fit", "extra", "blocks", "ends")
+    plan = [(x.src["none"], x.src["name"], x.fit, x.more, x.extra or 0, n, e) for x, n, e in zip(took, blocks, ends, strict=True)]
+    plan_rows = spark.createDataFrame(plan, "none boolean, name string, fit long, more long, extra long, blocks long, ends array<long>").select(F.struct("none", "name").alias("src"), "fit", "more", "extra", "blocks", "ends")
     r = r.join(few(plan_rows), "src")
-    times = F.col("passes") + (F.col("rank") <= F.col("fit")).cast("long") + (F.col("rank") == F.col("extra")).cast("long")
+    times = F.col("passes") + ((F.col("rank") <= F.col("fit")) | F.col("_place").isNotNull()).cast("long") + (F.col("rank") == F.col("extra")).cast("long")
     r = r.withColumn("times", times)
     # every copy's block of its source; a permutation of a source's blocks, drawn by a seeded hash, gives each shard its own
-    place = F.when(F.col("p") < F.col("passes"), F.col("rank") - 1).otherwise(F.least(F.col("rank"), F.col("fit") + 1) - 1)
-    copies = r.where("times > 0").select("_n", "src", "_key", "rank", "passes", "fit", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("p"))
+    place = F.when((F.col("p") < F.col("passes")) | (F.col("rank") <= F.col("fit")), F.col("rank") - 1).otherwise(F.col("fit") + F.coalesce("_place", "more"))
+    copies = r.where("times > 0").select("_n", "src", "_key", "rank", "passes", "fit", "more", "_place", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("p"))
     copies = copies.select("_n", "src", F.floor((F.col("p") * F.col("n") + place) / F.lit(block)).alias("block"), F.xxhash64("_key", "p", F.lit(seed)).alias("order_key"))
     every = plan_rows.where("blocks > 0").select("src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     drawn = common.ranked(every.withColumn("_draw", F.xxhash64("src", "block", F.lit(seed))), ["src"], "_draw", ["block"]).join(few(plan_rows.select("src", "ends")), "src")

@@ -581,3 +581,59 @@ def test_line_pairs_at_the_similarity_meet(spark):
             want.append(i + 1)
     got = {r.doc_id: r.removed for r in o5.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[i] == [0] for i in want) >= 196
+
+
+@pytest.mark.parametrize("n, length, edits", [(9, 25, 4), (20, 6, 3), (12, 8, 2), (6, 5, 1), (30, 4, 3), (1, 80, 3)])
+def test_recall_by_word_length(spark, n, length, edits):
+    """Lines of equal long or short words, single letters changed, at a similarity of 0.8 or more."""
+    rng = random.Random(n * length)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=length))
+    cut = lambda t: {t[i : i + 5] for i in range(max(1, len(t) - 4))}
+    pairs = []
+    while len(pairs) < 60:
+        a = " ".join(word() for _ in range(n))
+        b = list(a)
+        for i in rng.sample([i for i, c in enumerate(a) if c != " "], edits):
+            b[i] = rng.choice("0123456789")
+        b = "".join(b)
+        x, y = cut(a), cut(b)
+        if len(x & y) >= 0.8 * len(x | y):
+            pairs.append((a, b))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(x for p in pairs for x in p)], "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in o5.dedup_lines(docs).collect()}
+    assert sum(got[2 * i + 1] == [0] for i in range(60)) >= 54 and all(got[2 * i] == [] for i in range(60))
+
+
+def test_texts_shorter_than_the_item(spark):
+    """The first 60 to 100 % of an item's words, alone: its only window is the text."""
+    rng = random.Random(12)
+    items = [(k, " ".join(rng.sample(WORDS, n))) for k, n in enumerate((6, 20, 50, 90))]
+    docs = [(100 * k + p, " ".join(x.split()[: max(1, len(x.split()) * p // 100)])) for k, x in items for p in range(60, 101, 4)]
+    want = {}
+    for i, t in docs:
+        own, hit = t.split(), []
+        for k, x in items:
+            a, b = ([tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))] for w in (own, x.split()))
+            both = len(set(a) & set(b))
+            hit += [k] if both >= 0.8 * (len(a) + len(b) - both) else []
+        want[i] = hit
+    frame = lambda r, c: spark.createDataFrame(r, f"{c} long, text string")
+    got = {r.doc_id: r.item_ids for r in o3.decontaminate(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == want and 12 <= sum(map(len, want.values())) < len(docs)
+
+
+def test_small_sources_come_near(spark):
+    """Ten to fifteen documents a source: what is missing is less than the smallest document that is left."""
+    rng = random.Random(31)
+    rows = [(i, "w " * rng.choice([3, 10, 40, 150, 400, 900]), f"s{i % 12:02}") for i in range(150)]
+    d = tempfile.mkdtemp()
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{d}/documents.parquet")
+    got = o9.query(spark, d).collect()
+    names = {i: s for i, _, s in rows}
+    for s in sorted(set(names.values())):
+        own = [r for r in got if names[r.doc_id] == s]
+        missing = own[0].target - sum(r.taken for r in own)
+        passes = own[0].target // own[0].source_size
+        free = [r.size for r in own if r.taken == passes * r.size]
+        assert -max(r.size for r in own) / 2 <= missing and (missing <= own[0].target * 0.001 or not free or missing < min(free))
+        assert all(r.taken <= 3 * r.size for r in own)
