@@ -1,4 +1,4 @@
-"""Fields of an invoice page's text, as column expressions; only amounts and the nearest tax id take a pandas pass (``money``)."""
+"""Fields of an invoice page's text, as column expressions."""
 
 from __future__ import annotations
 
@@ -136,15 +136,18 @@ def header_identity(c) -> Column:
 
 # ---- date, plate
 def date(c) -> Column:
-    """``dd/mm/yyyy`` of the first numeric date with slashes, else of one in words; null for none. It need not be a real day."""
-    t = F.regexp_replace(T.fold_accents(c), r"(?i)\bn[i1]m\b", "nam")
-    two = lambda p, i: F.translate(_found(t, p, i), *P.DATE_LETTERS)
+    """``dd/mm/yyyy`` of the first numeric date with slashes, else of one in words; null for none. It need not be a real day.
 
-    def form(p) -> Column:
-        day, month = two(p, 1), two(p, 2)
-        return F.when(day.rlike("^[0-9]+$") & month.rlike("^[0-9]+$"), F.concat_ws("/", F.lpad(day, 2, "0"), F.lpad(month, 2, "0"), _found(t, p, 3)))
+    The text is folded once, each pattern is looked for once, and its parts are read from what it found."""
+    letters = lambda x: F.translate(x, *P.DATE_LETTERS)
 
-    return F.coalesce(*[form(p) for p in (P.DATE_NUMERIC, *P.DATE_WORDS)])
+    def parts(m, p) -> Column:
+        day, month = letters(_found(m, p, 1)), letters(_found(m, p, 2))
+        return F.when(day.rlike("^[0-9]+$") & month.rlike("^[0-9]+$"), F.concat_ws("/", F.lpad(day, 2, "0"), F.lpad(month, 2, "0"), _found(m, p, 3)))
+
+    form = lambda t, p: T.bind(_found(t, p, 0), lambda m: F.when(m.isNotNull(), parts(m, p)))
+    words = lambda t: F.when(t.rlike(P.DATE_WORDS_HINT), F.coalesce(*[form(t, p) for p in P.DATE_WORDS]))
+    return T.bind(F.regexp_replace(T.fold_accents(c), r"(?i)\bn[i1]m\b", "nam"), lambda t: F.coalesce(form(t, P.DATE_NUMERIC), words(t)))
 
 
 def _plate_text(c) -> Column:
@@ -152,8 +155,11 @@ def _plate_text(c) -> Column:
 
 
 def _plate_form(t, pattern: str) -> Column:
-    part = lambda i: F.regexp_extract(t, pattern, i)
-    return F.when(t.rlike(pattern), F.concat(part(1), F.lit("-"), part(2), F.lit("."), part(3)))
+    def parts(m) -> Column:
+        part = lambda i: F.regexp_extract(m, pattern, i)
+        return F.when(m != "", F.concat(part(1), F.lit("-"), part(2), F.lit("."), part(3)))
+
+    return T.bind(F.regexp_extract(t, pattern, 0), parts)
 
 
 def plate_in(c) -> Column:
@@ -163,9 +169,9 @@ def plate_in(c) -> Column:
 
 def plate(c) -> Column:
     """The plate of a line that names the buyer or the vehicle, else the first of the page; null for none."""
-    t, p = _plate_text(c), P.PLATE_PARTS + r"\b"
-    own = F.get(F.filter(F.split(t, P.LINE_ENDS), lambda x: x.rlike(P.PLATE_LINE) & x.rlike(p)), F.lit(0))
-    return _plate_form(F.coalesce(own, t), p)
+    p = P.PLATE_PARTS + r"\b"
+    own = lambda t: F.get(F.filter(F.split(t, P.LINE_ENDS), lambda x: x.rlike(P.PLATE_LINE) & x.rlike(p)), F.lit(0))
+    return T.bind(_plate_text(c), lambda t: F.when(t.rlike(p), _plate_form(F.coalesce(own(t), t), p)))
 
 
 def clean_plate(c) -> Column:

@@ -28,6 +28,11 @@ _FROM, _TO = "".join(_LATIN), "".join(_LATIN.values())
 _MARKS = "[\\u0300-\\u036f\\u1dc0-\\u1dff\\u20d0-\\u20ff]"
 
 
+def bind(value, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean(c) -> Column:
     """White space to single spaces, no double quotes."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), '"', ""))
@@ -37,6 +42,10 @@ def fold_accents(c) -> Column:
     return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), _FROM, _TO), _MARKS, "")
 
 
+#: ``fold_accents`` as SQL over ``x``.
+FOLD_SQL = f"regexp_replace(translate(coalesce(x, ''), '{_FROM}', '{_TO}'), r'{_MARKS}', '')"
+
+
 def norm_code(c) -> Column:
     """Lookup codes: trimmed, no trailing stars, upper case."""
     return F.upper(F.trim(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\*+$", "")))

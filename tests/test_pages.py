@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from billforge.functions import extract, html, money, page_fields, registry, rules, text
-from billforge.operators import xmlrows
+from billforge.operators import pages, xmlrows
 
 S = "Cần kiểm tra"
 
@@ -39,21 +41,34 @@ def test_file_numbers(spark):
     assert one(spark, page_fields.plate_with_alias(F.lit("50E-123.45"), F.lit("50F-123-45_p1"))) == "50F-123.45" and one(spark, page_fields.plate_with_alias(F.lit("51A-999.99"), F.lit("50F-123-45"))) == "51A-999.99"
 
 
-@pytest.mark.parametrize("page, want", [
+AMOUNTS = [
     ("Cộng tiền hàng: 2.000.000", 2000000), ("Cộng tiền hàng: 1.000.000 100.000 1.100.000", 1000000), ("Tổng cộng tiền thanh toán: 1.100.000\nthuế suất 10%", 1000000),
     ("Tiền thuế GTGT: 100.000\nTổng tiền thanh toán: 1.100.000", 1000000), ("Xăng RON 95 10 25.000 250.000", 250000), ("Số tiền bằng chữ: Một triệu hai trăm nghìn đồng chẵn", 1200000),
     ("Cộng tiền hàng: 1.234.567\nBằng chữ: Bảy triệu hai trăm ba mươi bốn nghìn năm trăm sáu mươi bảy đồng", 7234567), ("Cộng tiền hàng: 1.200.000\nBằng chữ: bảy triệu hai trăm nghìn đồng", 7200000),
     ("Tổng cộng số tiền\n55.000.000\n350000\nngười mua", 350000), ("12 345", None), (None, None), ("Cộng tiền hàng: 88.000.000.000", 88000000000),
-])
-def test_amounts(page, want):
-    assert money.pre_tax(page) == want
+    ("Xăng RON\nDầu Diezen 300.000\n", 300000), ("RON 95 100.000 1.100.000\nthuế suất 10%", 1000000), ("Bằng chữ: một triệu một trăm nghìn đồng\nTiền thuế GTGT: 100.000", 1000000),
+]
+WORDS = [
+    ("Một triệu hai trăm nghìn đồng", 1200000), ("ba trăm linh năm nghìn không trăm lẻ bảy đồng", 305007), ("mười nghìn đồng", 10000), ("hai mươi mốt tỷ mười lăm triệu đồng chẵn", 21_015_000_000),
+    ("nghin trieu dong", 1001000), ("chin tram chin muoi chin trieu tu nghin dong", 999004000), ("tram nghin dong", 1000), ("bay hghin dram dong", 7000), ("xyz", 0), ("", 0), (None, 0),
+]
+
+
+def test_amounts(spark):
+    for f, cases in ((money.pre_tax_amount, AMOUNTS), (lambda c: money.words_amount(F.concat(F.lit("Bằng chữ: "), c)), WORDS)):
+        d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+        assert [(cases[r.i][0], r.x) for r in d.select("i", f(F.col("t")).alias("x")).orderBy("i").collect()] == cases
 
 
 def test_money_rules(spark):
     for a, want in (([100000, 1100000], 1000000), ([1000000, 100000, 1100002], 1000002), ([1000000, 100000, 1100000], 1000000), ([5], 5)):
-        assert money.choose_pre_tax(a) == want == one(spark, rules.pick_pre_tax(F.array(*map(F.lit, a))))
-    assert one(spark, rules.word_override(F.lit(123), F.lit(723))) is False and money.override_by_words(1234567, 7234567) and not money.override_by_words(1234567, 1234568)
-    assert money.region_pre_tax("Ký hiệu 123456\n250.000") == 250000 and money.words_check(1000000, "Một triệu một trăm nghìn đồng") is None and money.words_check(5, "Một triệu một trăm nghìn đồng") == 1100000
+        assert want == one(spark, rules.pick_pre_tax(F.array(*map(F.lit, a))))
+    over = lambda a, b: one(spark, rules.word_override(F.lit(a), F.lit(b)))
+    assert over(123, 723) is False and over(1234567, 7234567) and not over(1234567, 1234568)
+    check = lambda a: one(spark, money.words_check(F.lit(a), F.lit("Một triệu một trăm nghìn đồng")))
+    assert one(spark, money.region_amount(F.lit("Ký hiệu 123456\n250.000"))) == 250000 and check(1000000) is None and check(5) == 1100000 and check(None) == 1100000
+    near = lambda z: one(spark, money.nearest_tax(F.lit(z)))
+    assert near("0100000000 thue 0301234567 x") == "0301234567" and near("thue" + " " * 60 + "0301234567") is None and near("0301234567") is None and near("thu 01234567890") is None
 
 
 def test_needs_better(spark):
@@ -113,7 +128,20 @@ def test_links(spark):
 
 def test_sql_functions(spark):
     names = registry.register(spark)
-    r = spark.sql("select norm_code(' ab12* ') a, norm_number('00a') b, digits_key('No 0012') c, fold_accents('Đá') d, words_to_number('hai muoi mot nghin') e, pre_tax_amount('Cộng tiền hàng: 2.000.000') f").first()
-    assert tuple(r) == ("AB12", "A", "12", "Da", 21000, 2000000) and "page_numbers" in names
+    r = spark.sql("select norm_code(' ab12* ') a, norm_number('00a') b, digits_key('No 0012') c, fold_accents('Đá') d, words_to_number('hai muoi mot nghin') e").first()
+    assert tuple(r) == ("AB12", "A", "12", "Da", 21000) and "page_numbers" in names
     assert [tuple(x) for x in spark.sql("select * from page_numbers('Số: 0012345\nx 250.000')").collect()] == [(0, "number", "12345"), (1, "amount", "250000")]
-    assert extract.words_to_number("") is None
+    assert one(spark, extract.words_to_number(F.lit(""))) is None and one(spark, extract.words_to_number(F.lit("ba tram le hai dong mot"))) == 302 == spark.sql("select words_to_number('ba tram le hai dong mot') x").first().x
+    assert spark.sql("select words_to_number('x y') x").first().x is None
+
+
+def test_page_groups_as_a_table_function(spark):
+    """Without PARTITION BY and ORDER BY in the call; equal to the operator."""
+    rng = random.Random(9)
+    rows = [(f"f{k % 7}", p, rng.choice([None, "", "S", "T"]), rng.choice([None, "1", "2"]), rng.random() < 0.3) for k in range(7) for p in range(1, 12)]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "file string, page_no int, series string, number string, heading boolean")
+    registry.register(spark)
+    d.createOrReplaceTempView("some_pages")
+    got = spark.sql("select * from page_groups(table(some_pages))").collect()
+    assert sorted(map(tuple, got)) == sorted((r.file, r.page_no, r.group_no) for r in pages.group_pages(d).collect())
