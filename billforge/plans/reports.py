@@ -86,12 +86,62 @@ def xml_presence(spark, sf):
     return work.xml_presence(table(spark, sf, "events").select(F.col("user_id").alias("email_id"), F.when(k % 40 == 0, "f").alias("file"), F.when(k % 50 == 7, "e").alias("error")))
 
 
-@query(f"with {_MESSAGES_SQL}, r as (select user_id, arg_max(status, event_id) status from m group by 1), k as (select case status when 'FAILED' then 'ERROR' else status end kind from r where status <> 'DONE') select kind, count(*) n from k group by 1")
-def issue_kinds(spark, sf):
+_ISSUES_SQL = f"""
+with {_MESSAGES_SQL}, r as (select cast(user_id as varchar) id, arg_max(status, event_id) status, arg_max(coalesce(reason, '~'), event_id) reason from m group by 1),
+k as (select cast(c_custkey as varchar) id, case when c_custkey % 4 = 0 then '' else 'K' || cast(c_custkey as varchar) end code, case c_custkey % 6 when 0 then 'DONE' when 1 then 'DUPLICATE' when 2 then 'FAILED' end state, c_custkey % 5 missing from customer),
+i as (select case status when 'FAILED' then 'ERROR' else status end kind, r.id message_id, coalesce(case when k.state is null or k.state <> 'DUPLICATE' then code end, '') lookup_code, case reason when '~' then '' else reason end reason from r left join k using (id) where status <> 'DONE'
+  union all select 'LOOKUP_WITHOUT_PDF', id, code, case when state is null then 'NOT_DOWNLOADED' when missing >= 3 then 'NOT_FOUND_GIVEN_UP' else 'DOWNLOAD_FAILED' end from k where code <> '' and coalesce(state, '') not in ('DONE', 'DUPLICATE') and not exists (select 1 from r where r.id = k.id and r.status <> 'DONE'))
+"""
+
+
+def _issues(spark, sf):
     m = catalog.messages(spark, sf).select(F.col("user_id").cast("string").alias("message_id"), "status", "reason", F.col("event_id").alias("event_seq"))
     about = m.select("message_id", F.lit("").alias("supplier"), F.lit("").alias("mail_date"), F.lit("").alias("subject")).distinct()
-    none = lookup_rows(spark, sf).where("false")
-    return work.issue_counts(reports.issues(ledger.run_issues(m), about, none, [("R1", "one")], "look"))
+    k, text_ = F.col("c_custkey"), lambda c: c.cast("string")
+    known = table(spark, sf, "customer").select(
+        text_(k).alias("message_id"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("K"), text_(k))).alias("lookup_code"), F.when(k % 6 == 0, "DONE").when(k % 6 == 1, "DUPLICATE").when(k % 6 == 2, "FAILED").alias("pdf_status"), (k % 5).cast("int").alias("pdf_not_found"),
+        F.lit("").alias("invoice_no"), F.lit("").alias("header_date"), F.lit("").alias("mail_date"), F.lit("").alias("subject"),
+    )
+    return reports.issues(ledger.run_issues(m), about, known, [("R1", "one")], "look")
+
+
+@query(f"{_ISSUES_SQL} select kind, message_id, lookup_code, reason from i")
+def issue_rows(spark, sf):
+    """Issues of a run, and lookups without a file that are not among them."""
+    return _issues(spark, sf).select("kind", "message_id", "lookup_code", "reason")
+
+
+@query(f"{_ISSUES_SQL} select kind, count(*) n from i group by 1")
+def issue_kinds(spark, sf):
+    return work.issue_counts(_issues(spark, sf))
+
+
+_TREE_SQL = """
+with recursive raw as (select c_custkey id, '{"payload":' || (case c_custkey % 5 when 0 then leaf when 1 then one when 2 then two when 3 then '{"mimeType":"multipart/mixed","parts":[' || two || ',' || leaf || ',' || one || ']}' else '{"broken' end) || '}' j from (
+  select *, '{"mimeType":"multipart/related","parts":[' || one || ',' || leaf || '],"body":{"data":"Yg"}}' two from (
+    select *, '{"mimeType":"multipart/alternative","parts":[' || leaf || ',{"filename":"' || c_name || '.pdf","mimeType":"application/pdf","body":{"size":' || cast(c_custkey as varchar) || '}}],"body":{"data":"YQ"}}' one from (
+      select *, '{"mimeType":"text/plain","body":{"data":"' || translate(base64(encode(c_name)), '+/=', '-_') || '"}}' leaf from customer)))),
+w as (select id, []::integer[] path, json_extract(j, '$.payload') node from raw where json_valid(j)
+  union all select id, list_append(path, i::integer), json_extract(node, '$.parts[' || i || ']') from (select id, path, node, unnest(range(json_array_length(node, '$.parts')::bigint)) i from w where json_array_length(node, '$.parts') > 0)),
+k as (select *, coalesce(json_array_length(node, '$.parts'), 0) below from w)
+select raw.id message_id, coalesce(p.parts, '') parts, coalesce(p.named, 0) named from raw left join (
+  select id, string_agg(array_to_string(path, '.') || ':' || coalesce(json_extract_string(node, '$.mimeType'), '') || ':' || coalesce(json_extract_string(node, '$.body.data'), ''), ' ' order by list_append(path, 2147483647)) parts,
+    count(*) filter (where json_extract_string(node, '$.filename') <> '') named from k where len(path) > 0 or below = 0 group by id) p using (id)
+"""
+
+
+@query(_TREE_SQL)
+def message_trees(spark, sf):
+    """Messages as trees of one to four levels, and broken ones: their parts in order, what is in a part before the part."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    leaf = cat('{"mimeType":"text/plain","body":{"data":"', F.translate(F.base64(F.col("c_name").cast("binary")), "+/=", "-_"), '"}}')
+    one = cat('{"mimeType":"multipart/alternative","parts":[', leaf, ',{"filename":"', F.col("c_name"), '.pdf","mimeType":"application/pdf","body":{"size":', k.cast("string"), '}}],"body":{"data":"YQ"}}')
+    two = cat('{"mimeType":"multipart/related","parts":[', one, ",", leaf, '],"body":{"data":"Yg"}}')
+    tree = F.when(k % 5 == 0, leaf).when(k % 5 == 1, one).when(k % 5 == 2, two).when(k % 5 == 3, cat('{"mimeType":"multipart/mixed","parts":[', two, ",", leaf, ",", one, "]}")).otherwise('{"broken')
+    m = messages.flatten_trees(c.select(k.alias("id"), cat('{"payload":', tree, "}").alias("raw")))
+    shown = F.array_join(F.transform("parts", lambda p: F.concat(p["path"], F.lit(":"), p["mime"], F.lit(":"), F.coalesce(p["data_b64url"], F.lit("")))), " ")
+    return m.select(F.col("id").alias("message_id"), shown.alias("parts"), F.size(F.filter("parts", lambda p: p["filename"] != "")).cast("long").alias("named"))
 
 
 # ---- files and names
