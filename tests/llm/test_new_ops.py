@@ -166,3 +166,35 @@ def test_templates(spark):
     for bad in (dict(between=""), dict(between="<|a\\"), dict(between="x<")):
         with pytest.raises(ValueError):
             o13.Template(**{**{k: getattr(chatml, k) for k in ("roles", "other", "follows", "first", "last")}, "between": bad["between"]})
+
+
+# ---- licenses, at every offset
+def test_licenses_at_every_offset(spark):
+    """Templates with words changed, left out and put in, against the best alignment over all windows of all offsets; within 3 % of the coverage either verdict will do."""
+    from billforge.llm import op6_licenses as o6
+
+    rng = random.Random(17)
+    vocabulary = [f"word{i}" for i in range(300)]
+    templates = {"one": " ".join(rng.choices(vocabulary, k=60)), "two": " ".join(rng.sample(vocabulary, 25)), "three": "Released under the Foo License version two point zero of this kind"}
+    texts = []
+    for i in range(90):
+        w = o6.WORD.findall(templates[rng.choice(sorted(templates))].lower())
+        edits = int(rng.choice([0, 0.05, 0.08, 0.1, 0.15, 0.3]) * len(w))
+        for _ in range(edits):
+            at, kind = rng.randrange(len(w)), rng.random()
+            w[at : at + (kind < 0.7)] = [] if kind < 0.35 else [rng.choice(vocabulary)]
+        noise = lambda: rng.choices([*vocabulary, "released", "under", "the"], k=rng.randint(0, 50))
+        texts.append((i, " ".join([*noise(), *w, *noise(), *(w if i % 9 == 0 else [])])))
+    texts += [(900, None), (901, ""), (902, "released under the")]
+    got = {r.doc_id: set(r.licenses) for r in o6.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), templates).collect()}
+    sure = 0
+    for i, t in texts:
+        words = o6.WORD.findall((t or "").lower())
+        for n, x in templates.items():
+            own = o6.WORD.findall(x.lower())
+            slack = max(2, len(own) // 4)
+            best = max((len(o6.patience(own, words[p : p + len(own) + slack])) for p in range(len(words))), default=0) / len(own)
+            if abs(best - o6.COVERAGE) >= 0.03:
+                assert (n in got[i]) == (best > o6.COVERAGE), (i, n, best)
+                sure += n in got[i]
+    assert sure >= 25
