@@ -71,7 +71,12 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """``path, sheet, row_no, cells`` of every workbook under a path; a file that can't be read gives one row with row_no -1."""
+    """The rows of every workbook under a path, as of ``workbook_rows``."""
+    return workbook_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path))
+
+
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """``files(path, content)`` → ``path, sheet, row_no, cells``; a file that can't be read gives one row with row_no -1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = ["path", "sheet", "row_no", "cells"]
@@ -88,7 +93,6 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                     out.append((p, "", -1, None))
                 yield pd.DataFrame(out, columns=cols)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, "path string, sheet string, row_no int, cells array<string>")
 
 
@@ -130,9 +134,8 @@ def _part(kind: str) -> str:
     return f"application/vnd.openxmlformats-officedocument.spreadsheetml.{kind}+xml"
 
 
-def write_workbook(df: DataFrame, path: str, sheet: str = "Sheet1", more: dict[str, DataFrame] | None = None) -> int:
-    """A sheet with a header, and ``more`` sheets by name; rows come to the driver a partition at a time. Returns the first sheet's rows."""
-    sheets = {sheet: df, **(more or {})}
+def workbook_bytes(sheets: dict[str, Iterator[tuple]]) -> tuple[bytes, list[int]]:
+    """A workbook of sheets by name, each given as rows with the header first; and each sheet's rows without it."""
     ns, root = "http://schemas.openxmlformats.org/", '<?xml version="1.0"?>'
     office = f"{ns}officeDocument/2006/relationships"
     numbers = range(1, len(sheets) + 1)
@@ -147,16 +150,13 @@ def write_workbook(df: DataFrame, path: str, sheet: str = "Sheet1", more: dict[s
         listed = "".join(f'<sheet name="{name(s)}" sheetId="{i}" r:id="r{i}"/>' for i, s in zip(numbers, sheets, strict=True))
         z.writestr("xl/workbook.xml", f'{root}<workbook xmlns="{ns}spreadsheetml/2006/main" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", rels("".join(rel(i, "worksheet", f"worksheets/sheet{i}.xml") for i in numbers)))
-        for i, d in zip(numbers, sheets.values(), strict=True):
+        for i, rows in zip(numbers, sheets.values(), strict=True):
             with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as f:
-                counts.append(_write_sheet(d, f, ns))
-    _write_bytes(df.sparkSession, path, buf.getvalue())
-    return counts[0]
+                counts.append(_write_sheet(rows, f, ns))
+    return buf.getvalue(), counts
 
 
-def _write_sheet(df: DataFrame, f, ns: str) -> int:
-    flat = df.select(*[F.array_join(c.name, "; ").alias(c.name) if c.dataType.typeName() == "array" else F.col(c.name) for c in df.schema])
-
+def _write_sheet(rows: Iterator[tuple], f, ns: str) -> int:
     def cell(v) -> str:
         if v is None:
             return "<c/>"
@@ -166,8 +166,7 @@ def _write_sheet(df: DataFrame, f, ns: str) -> int:
 
     f.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{ns}spreadsheetml/2006/main"><sheetData>'.encode())
     n = 0
-    for row in itertools.chain([tuple(flat.columns)], flat.toLocalIterator()):
-        n += 1
+    for n, row in enumerate(rows, 1):
         if n > MAX_ROWS:
             raise ValueError(f"a sheet holds {MAX_ROWS} rows; write a table instead")
         f.write((f'<row r="{n}">' + "".join(map(cell, row)) + "</row>").encode())
@@ -175,6 +174,36 @@ def _write_sheet(df: DataFrame, f, ns: str) -> int:
     return n - 1
 
 
+def _flat(df: DataFrame) -> DataFrame:
+    return df.select(*[F.array_join(c.name, "; ").alias(c.name) if c.dataType.typeName() == "array" else F.col(f"`{c.name}`") for c in df.schema])
+
+
+def write_workbook(df: DataFrame, path: str, sheet: str = "Sheet1", more: dict[str, DataFrame] | None = None) -> int:
+    """A sheet with a header, and ``more`` sheets by name; rows come to the driver a partition at a time. Returns the first sheet's rows.
+    Of many workbooks none needs to: see ``pack_workbooks``."""
+    sheets = {n: _flat(d) for n, d in {sheet: df, **(more or {})}.items()}
+    data, counts = workbook_bytes({n: itertools.chain([tuple(d.columns)], d.toLocalIterator()) for n, d in sheets.items()})
+    _write_bytes(df.sparkSession, path, data)
+    return counts[0]
+
+
+def pack_workbooks(df: DataFrame, key: str, order: list[str], sheet: str = "Sheet1") -> DataFrame:
+    """``key, n, content``: a workbook for each key, with its other columns in order; each is made by a task, where its rows are. A sheet's rows are bounded, so
+    a key of more gets several sheets."""
+    flat = _flat(df)
+    names = [c for c in flat.columns if c != key]
+    kind = df.schema[key].dataType.simpleString()
+
+    def pack(k: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(order)[names].astype(object)
+        d = d.where(d.notna(), None)
+        parts = [d.iloc[i : i + MAX_ROWS - 1] for i in range(0, len(d), MAX_ROWS - 1)]
+        data, counts = workbook_bytes({sheet if not i else f"{sheet} {i + 1}": itertools.chain([tuple(names)], p.itertuples(index=False, name=None)) for i, p in enumerate(parts)})
+        return pd.DataFrame({"key": [k[0]], "n": [sum(counts)], "content": [data]})
+
+    return flat.groupBy(key).applyInPandas(pack, f"key {kind}, n long, content binary").withColumnRenamed("key", key)
+
+
 def write_ledger_csv(df: DataFrame, path: str) -> None:
     """CSV parts with a byte-order mark before each header; lists are joined by '; '. Nothing comes to the driver."""
     cols = [F.array_join(c.name, "; ") if c.dataType.typeName() == "array" else F.col(c.name) for c in df.schema]

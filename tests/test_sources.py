@@ -144,3 +144,15 @@ def test_workbook_of_several_sheets(spark, tmp_path):
     assert [r.message_id for r in sheets["lookups"].orderBy("seq").collect()] == ["b", "a", "c"]
     pages = files.page_texts(spark.createDataFrame([("p", b"a\fb"), ("q", b"")], "path string, content binary"), lambda c: c.decode().split("\f") if c else 1 // 0)
     assert sorted((r.file, r.page_no, r.text) for r in pages.collect()) == [("p", 1, "a"), ("p", 2, "b"), ("q", 1, None)]
+
+
+def test_workbooks_made_by_tasks(spark, monkeypatch):
+    """A workbook a key, several sheets where one is too small; nulls, lists and signs."""
+    monkeypatch.setattr(workbook, "MAX_ROWS", 4)
+    rows = [("a", i, f"x<{i}>" if i % 2 else None, ["p", "q"]) for i in range(7)] + [("b", 1, "", [])]
+    d = spark.createDataFrame(rows, "k string, n int, t string, l array<string>")
+    packed = {r.k: r for r in workbook.pack_workbooks(d, "k", ["n"], "S").collect()}
+    assert {k: r.n for k, r in packed.items()} == {"a": 7, "b": 1}
+    got = [(s, n, c) for s, n, c in workbook.sheet_rows(bytes(packed["a"].content))]
+    assert [(s, n) for s, n, _ in got] == [("S", 1), ("S", 2), ("S", 3), ("S", 4), ("S 2", 1), ("S 2", 2), ("S 2", 3), ("S 2", 4), ("S 3", 1), ("S 3", 2)]
+    assert got[0][2] == ["n", "t", "l"] and got[2][2] == ["1", "x<1>", "p; q"] and got[9][2][0] == "6"
