@@ -8,7 +8,8 @@ candidate; it is reported if the automaton explains it better than a class bigra
 and at most ``MAX_LABELLED`` of the corpus) by ``THRESHOLD`` nats a character, and it overlaps no base span.
 
 Cases: null texts are empty; an empty text has no spans and the hash of the empty string; repeated rows give equal
-rows; texts of any length are scanned whole; an empty table gives no rows; extra columns are not read.
+rows; texts of any length are scanned whole; of labelled values with equal hashes the
+lesser comes first, and spans of one start come in the order of the kinds; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -115,7 +115,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a benchmark item, with the columns of ``docs``, whatever their names."""
+    """Rows without a benchmark item, with the columns of ``docs``, whatever their names. An empty table gives no rows, an empty benchmark keeps all."""
     own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     d = docs.select("text", _key().alias("_key"), *[F.col(c).alias(x) for c, x in own.items()])
     found = common.materialize(hits(d.select("_key", "text"), common.read_table(spark, sf_dir, "benchmark")), "hits")

@@ -160,7 +160,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes, with the columns of ``docs``: partitions hold consecutive stretches of the shards, each in its own order."""
+    """A row for each copy that the mix takes, with the columns of ``docs``: partitions hold consecutive stretches of the shards, each in its own order.
+    An empty table gives no rows; columns may have any names."""
     own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*_base(docs), *[F.col(c).alias(x) for c, x in own.items()]).withColumn("_n", F.monotonically_increasing_id())
     rows = common.materialize(rows, "rows")
