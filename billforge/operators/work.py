@@ -12,8 +12,7 @@ from ..schema import DONE, DUPLICATE, PENDING, nz
 from .dedupe import numbered_names
 from .numbering import number_rows
 
-#: Folders that hold pages which are not read again, and the order of CSV columns.
-READ_FOLDERS = ("hoadon_petrolimex", "da_rap_xml", "cac_hang_khac", "trung_lap")
+#: Fixed value: the order of CSV columns.
 CSV_COLUMNS = ("updated_at", "status", "supplier", "mail_date", "subject", "reason", "attempts", "saved_count", "files", "link", "message_id")
 
 
@@ -57,8 +56,8 @@ def settle(*levels: dict) -> dict:
     return {k: next((x[k] for x in levels if x.get(k) not in (None, "")), None) for x in levels for k in x}
 
 
-def unread(files: DataFrame, stems: DataFrame | None = None, folders: tuple[str, ...] = READ_FOLDERS) -> DataFrame:
-    """Page files outside of folders that were read already, and without those at the top whose stem is known."""
+def unread(files: DataFrame, folders: tuple[str, ...], stems: DataFrame | None = None) -> DataFrame:
+    """Page files outside of ``folders`` that were read already (lower case), and without those whose stem is known."""
     out = files.where(~F.lower(F.element_at(F.split("folder", "/"), -1)).isin(*folders))
     return out if stems is None else out.join(stems.select("stem").distinct(), "stem", "left_anti")
 

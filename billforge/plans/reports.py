@@ -430,4 +430,4 @@ def unread_files(spark, sf):
     p = table(spark, sf, "part")
     f = p.select("p_partkey", F.when(F.col("p_size") % 5 == 0, "/in/Trung_Lap").otherwise("/in/x").alias("folder"), F.col("p_partkey").cast("string").alias("stem"))
     known = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("file_stem"))
-    return work.unread(f, work.filled_stems(known)).select("p_partkey")
+    return work.unread(f, ("trung_lap",), work.filled_stems(known)).select("p_partkey")
