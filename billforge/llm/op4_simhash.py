@@ -104,10 +104,11 @@ def simhash_dedup(docs: DataFrame, size: int = SHINGLE_WORDS, radius: int = RADI
     least = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     groups = groups or (2 if least.count() <= FEW_FINGERPRINTS else 4)
     comps = common.materialize(near_components(least.select("fp"), radius, groups), "components")
-    named = least.join(comps, F.col("fp") == F.col("id"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    # all three sides grow with the corpus: none is broadcast
+    named = least.join(comps.hint("merge"), F.col("fp") == F.col("id"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(roots, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(roots.hint("merge"), "root").select("fp", "component_id")
+    return fps.join(by_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from billforge.llm import common
 from billforge.llm import op1_suffix_dedup as o1
 from billforge.llm import op2_quality as o2
 from billforge.llm import op3_decontaminate as o3
@@ -637,3 +638,20 @@ def test_small_sources_come_near(spark):
         free = [r.size for r in own if r.taken == passes * r.size]
         assert -max(r.size for r in own) / 2 <= missing and (missing <= own[0].target * 0.001 or not free or missing < min(free))
         assert all(r.taken <= 3 * r.size for r in own)
+
+
+def test_simhash_broadcasts_no_table_that_grows(spark, monkeypatch):
+    """Exploded variants are taken for as small as their fingerprints; broadcast, those of 0.5 GB of texts do not fit a driver of 750 MB."""
+    plans, write = [], common.materialize
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(common, "materialize", noted)
+    docs = spark.createDataFrame([(i, f"some words of text {i // 2} that say little") for i in range(40)], "doc_id long, text string")
+    out = o4.simhash_dedup(docs)
+    plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
+    assert {"buckets", "components"} <= {n for n, _ in plans}
+    assert [n for n, p in plans if "BroadcastHashJoin" in p and n in ("buckets", "edges", "result")] == []
+    assert [r.component_id for r in out.orderBy("doc_id").collect()][:2] == [0, 0]
