@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows and bytes of what a Python worker hands on at a time.
+BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 PAGE_SUFFIXES = ("pdf", "png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
 
 
@@ -46,21 +48,37 @@ def looks_like_xml(content) -> Column:
     return F.coalesce(F.startswith(head, F.lit("<")) & ~page & known, F.lit(False))
 
 
+def bounded(rows: Iterator, size: Callable) -> Iterator[list]:
+    """Rows in lists of at most BATCH_ROWS, each closed by the row that brings it to BATCH_BYTES."""
+    held, total = [], 0
+    for r in rows:
+        held.append(r)
+        total += size(r)
+        if len(held) >= BATCH_ROWS or total >= BATCH_BYTES:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def expand_zips(files: DataFrame, suffixes: tuple[str, ...] = ("pdf", "xml")) -> DataFrame:
     """``files(path, content)`` → ``path, member, content``: members of ZIP files (told by their first bytes) with a wanted suffix; other files
     are passed on with a null member. A broken archive gives one row with null content. One archive is opened at a time."""
     wanted = tuple("." + s for s in suffixes)
 
+    def members(path: str, content: bytes) -> Iterator[tuple[str, str, bytes | None]]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for m in z.infolist():
+                    if not m.is_dir() and m.filename.lower().endswith(wanted):
+                        yield path, m.filename, z.read(m)
+        except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError):
+            yield path, "", None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for m in z.infolist():
-                            if not m.is_dir() and m.filename.lower().endswith(wanted):
-                                yield pd.DataFrame({"path": [path], "member": [m.filename], "content": [z.read(m)]})
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError):
-                    yield pd.DataFrame({"path": [path], "member": [""], "content": [None]})
+        every = (m for b in batches for path, content in zip(b["path"], b["content"]) for m in members(path, content))
+        for out in bounded(every, lambda m: len(m[2] or b"")):
+            yield pd.DataFrame(out, columns=["path", "member", "content"])
 
     schema = "path string, member string, content binary"
     plain = files.where(~is_zip("content")).select("path", F.lit(None).cast("string").alias("member"), "content")
