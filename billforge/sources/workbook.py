@@ -13,10 +13,12 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_accents
+from .files import bounded
 
 MAX_ROWS, HEADER_ROWS = 1_048_576, 15
 _BAD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
@@ -78,20 +80,17 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
 def workbook_rows(files: DataFrame) -> DataFrame:
     """``files(path, content)`` → ``path, sheet, row_no, cells``; a file that can't be read gives one row with row_no -1."""
 
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for row in sheet_rows(content):
+                yield path, *row
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError):
+            yield path, "", -1, None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["path", "sheet", "row_no", "cells"]
-        for b in batches:
-            for p, content in zip(b["path"], b["content"]):
-                out = []
-                try:
-                    for row in sheet_rows(content):
-                        out.append((p, *row))
-                        if len(out) == 10_000:
-                            yield pd.DataFrame(out, columns=cols)
-                            out = []
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError):
-                    out.append((p, "", -1, None))
-                yield pd.DataFrame(out, columns=cols)
+        every = (r for b in batches for path, content in zip(b["path"], b["content"]) for r in rows_of(path, content))
+        for out in bounded(every, lambda r: sum(len(c or "") for c in r[3] or ())):
+            yield pd.DataFrame(out, columns=["path", "sheet", "row_no", "cells"])
 
     return files.select("path", "content").mapInPandas(run, "path string, sheet string, row_no int, cells array<string>")
 
@@ -193,15 +192,34 @@ def pack_workbooks(df: DataFrame, key: str, order: list[str], sheet: str = "Shee
     flat = _flat(df)
     names = [c for c in flat.columns if c != key]
     kind = df.schema[key].dataType.simpleString()
+    held = flat.select(key, *[F.col(f"`{c}`") for c in names]).repartition(key).sortWithinPartitions(F.col(key).asc_nulls_first(), *[F.col(f"`{c}`").asc_nulls_last() for c in order])
+
+    def packed(k, rows: list[tuple]) -> tuple:
+        parts = [rows[i : i + MAX_ROWS - 1] for i in range(0, len(rows), MAX_ROWS - 1)]
+        data, counts = workbook_bytes({sheet if not i else f"{sheet} {i + 1}": itertools.chain([tuple(names)], p) for i, p in enumerate(parts)})
+        return k, sum(counts), data
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.null(), pa.int64(), pa.binary()]
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                types[0] = b.column(0).type
+                yield from zip(b.column(0).to_pylist(), *[_plain_values(c) for c in b.columns[1:]], strict=True)
+
+        every = (packed(k, [r[1:] for r in own]) for k, own in itertools.groupby(rows(), lambda r: r[0]))
+        for out in bounded(every, lambda x: len(x[2])):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "n", "content"])
+
+    return held.mapInArrow(pack, f"key {kind}, n long, content binary").withColumnRenamed("key", key)
 
-    def pack(k: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(order)[names].astype(object)
-        d = d.where(d.notna(), None)
-        parts = [d.iloc[i : i + MAX_ROWS - 1] for i in range(0, len(d), MAX_ROWS - 1)]
-        data, counts = workbook_bytes({sheet if not i else f"{sheet} {i + 1}": itertools.chain([tuple(names)], p.itertuples(index=False, name=None)) for i, p in enumerate(parts)})
-        return pd.DataFrame({"key": [k[0]], "n": [sum(counts)], "content": [data]})
 
-    return flat.groupBy(key).applyInPandas(pack, f"key {kind}, n long, content binary").withColumnRenamed("key", key)
+def _plain_values(c: pa.Array) -> list:
+    """Python values; no number as null, times as their time zone's clock shows them."""
+    values = c.to_pylist()
+    if pa.types.is_floating(c.type):
+        return [None if v is None or v != v else v for v in values]
+    return [v and v.replace(tzinfo=None) for v in values] if pa.types.is_timestamp(c.type) else values
 
 
 def write_ledger_csv(df: DataFrame, path: str) -> None:

@@ -156,3 +156,32 @@ def test_workbooks_made_by_tasks(spark, monkeypatch):
     got = [(s, n, c) for s, n, c in workbook.sheet_rows(bytes(packed["a"].content))]
     assert [(s, n) for s, n, _ in got] == [("S", 1), ("S", 2), ("S", 3), ("S", 4), ("S 2", 1), ("S 2", 2), ("S 2", 3), ("S 2", 4), ("S 3", 1), ("S 3", 2)]
     assert got[0][2] == ["n", "t", "l"] and got[2][2] == ["1", "x<1>", "p; q"] and got[9][2][0] == "6"
+
+
+def test_archives_and_workbooks_of_many_files(spark):
+    """Members and rows leave a worker in lists of many files, and a key's rows may come in several batches."""
+    assert list(files.bounded(iter([1, 2, files.BATCH_BYTES, 3]), lambda x: x)) == [[1, 2, files.BATCH_BYTES], [3]]
+    assert [len(x) for x in files.bounded(iter(range(files.BATCH_ROWS + 1)), lambda _: 0)] == [files.BATCH_ROWS, 1]
+    assert list(files.bounded(iter([]), len)) == []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = [(k, n, None if n % 3 == 0 else n * 10, f"t{n}") for k in [*range(40), None] for n in range(7)]
+        d = spark.createDataFrame(rows, "k long, n int, v long, t string").repartition(3)
+        packed = workbook.pack_workbooks(d, "k", ["n"]).where("k is null or k >= 0")
+        assert {(r.k, r.n) for r in packed.select("k", "n").collect()} == {(k, 7) for k in [*range(40), None]}
+        read = workbook.workbook_rows(packed.select(F.coalesce(F.col("k").cast("string"), F.lit("none")).alias("path"), "content").union(spark.createDataFrame([("bad", b"PK")], "path string, content binary")))
+        got = {(r.path, r.row_no): r.cells for r in read.collect()}
+        assert len(got) == 41 * 8 + 1 and got["bad", -1] is None
+        assert all(got[p, n + 2] == [str(n), None if n % 3 == 0 else str(n * 10), f"t{n}"] for p in ("0", "39", "none") for n in range(7))
+
+        def zipped(names):
+            b = io.BytesIO()
+            with zipfile.ZipFile(b, "w") as z:
+                for x in names:
+                    z.writestr(x, x)
+            return b.getvalue()
+
+        z = spark.createDataFrame([(f"z{i}", zipped([f"{i}-{j}.xml" for j in range(5)])) for i in range(20)], "path string, content binary")
+        assert {(r.path, r.member, bytes(r.content).decode()) for r in files.expand_zips(z, ("xml",)).collect()} == {(f"z{i}", x, x) for i in range(20) for x in [f"{i}-{j}.xml" for j in range(5)]}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
