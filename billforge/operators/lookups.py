@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_code, norm_number
 from ..schema import DONE, DUPLICATE, LOOKUPS, PENDING
+from ..tables import dropped, written
 from .dedupe import fold_dedupe, wildcard_semi
 from .ledger import STATE, pending
 from .numbering import running
@@ -48,7 +49,9 @@ def fold_lookups(events: DataFrame, snapshot: DataFrame | None = None, upto: int
     held = lambda n: F.col(f"_state.{n}")
     either = lambda n, own: F.when(kind == STATE, held(n)).otherwise(own)
     code = either("lookup_code", blank(F.col("lookup_code")))
-    e = running(e, ["message_id"], "event_seq", last={"_prior": F.when(given, F.struct(code.alias("code")))}).where(given | F.col("_prior").isNotNull())
+    # each running value looks at its rows several times: they are written, or a fold from a snapshot would make the first ones over and over
+    own = written(e, "lookup-events")
+    e = running(own, ["message_id"], "event_seq", last={"_prior": F.when(given, F.struct(code.alias("code")))}).where(given | F.col("_prior").isNotNull())
     result, rearm, marked, freed, state = kind == "result", kind == "rearm", kind == "duplicate", kind == "original", kind == STATE
     first = (kind == "upsert") & F.col("_prior").isNull()
     moved = (kind == "upsert") & F.coalesce(F.col("_prior.code") != code, F.lit(False))
@@ -57,6 +60,8 @@ def fold_lookups(events: DataFrame, snapshot: DataFrame | None = None, upto: int
     says = F.when(result, F.col("status")).when(marked, DUPLICATE).when(state, held("pdf_status")).otherwise(PENDING)
     missing = F.when(state, held("pdf_not_found")).otherwise((result & F.coalesce(F.col("not_found"), F.lit(False))).cast("int"))
     e = e.withColumns({"_outright": outright, "_says": says, "_missing": F.coalesce(missing, F.lit(0)).cast("bigint")})
+    e = written(e, "lookup-priors")
+    dropped(own)
     e = running(
         e, ["message_id"], "event_seq", last={"_told": F.when(F.col("_outright"), F.struct("event_seq", F.col("_says").alias("status"))), "_by_hand": F.when(kind == "downloaded", F.struct("event_seq"))}, sums={"_lost": F.col("_missing")}
     )

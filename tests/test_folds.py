@@ -145,3 +145,12 @@ def test_running_values(spark, small):
 def test_empty_ledgers(spark):
     assert ledger.fold_events(spark.createDataFrame([], EVENTS)).count() == 0
     assert lookups.fold_lookups(spark.createDataFrame([], lookups.EVENTS)).count() == 0
+
+
+def test_a_fold_from_a_snapshot_reads_its_rows_once(spark, small):
+    """Written in between, rows are not made anew by each look that the running values take at them."""
+    d = spark.createDataFrame(lookup_events(240), lookups.EVENTS)
+    cut = 120
+    out = lookups.fold_lookups(d.where(F.col("event_seq") > cut), lookups.fold_lookups(d.where(F.col("event_seq") <= cut)), cut)
+    leaves = out._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves <= 4, leaves
