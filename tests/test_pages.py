@@ -145,3 +145,15 @@ def test_page_groups_as_a_table_function(spark):
     d.createOrReplaceTempView("some_pages")
     got = spark.sql("select * from page_groups(table(some_pages))").collect()
     assert sorted(map(tuple, got)) == sorted((r.file, r.page_no, r.group_no) for r in pages.group_pages(d).collect())
+
+
+def test_pages_of_one_small_file_go_to_many_tasks(spark, tmp_path):
+    from billforge.plans import catalog
+
+    spark.range(100).selectExpr("id o_orderkey", "id o_custkey", "id * 1.5 o_totalprice", "date'2025-01-02' o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    read = catalog.table(spark, str(tmp_path), "orders")
+    assert read.rdd.getNumPartitions() == 1
+    out = catalog.spread(read)
+    assert out.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism and out.count() == 100
+    plan = catalog.page_rows(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
