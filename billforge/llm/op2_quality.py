@@ -1,7 +1,7 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio between trusted and raw text.
 
 Word unigrams and bigrams of every document are hashed into buckets, whose number grows with the n-grams of the corpus up
-to ``MAX_BUCKETS``. Raw counts come from all documents, trusted counts from a bounded sample of those labelled good and not
+to ``MAX_BUCKETS``. Raw counts come from all documents, trusted counts and the threshold from all that are labelled, good and not
 toxic. Texts are dealt to ``FOLDS`` parts by hash, and a document's score, the mean over its n-grams of log p_trusted -
 log p_raw, comes from the counts of the other parts: neither it nor an exact copy is in the counts it is held against,
 labelled or not. The threshold is the cut that best parts these held-out scores of documents labelled good (and not toxic)
@@ -29,8 +29,8 @@ FOLDS, ALPHA = 4, 1.0
 MIN_BUCKETS, MAX_BUCKETS, GRAMS_A_BUCKET = 1 << 14, 1 << 17, 32
 #: Bits of a word's hash that are written.
 WORD_BITS = 20
-#: Labelled documents of each side that the trusted counts and the threshold are taken from, at most: those of smallest hash.
-MAX_TRUSTED = 20_000
+#: Rows whose bits a bitmap of Spark's holds.
+BITMAP_ROWS = 32_768
 #: Steps of a score in which the threshold is sought.
 STEPS = 1024
 SYMBOLS = r"[#*$%&|<>]"
@@ -91,17 +91,29 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def labelled(labels: DataFrame) -> DataFrame:
-    """``(doc_id, good)``: 1 for good and not toxic, 0 for bad; at most ``MAX_TRUSTED`` of each."""
+    """``(doc_id, good)`` of every labelled document that counts: 1 for good and not toxic, 0 for bad."""
     one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("quality = 1 and toxic = 0")).alias("g"), F.max(F.expr("quality = 0")).alias("b"))
-    some = lambda rows, good: rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED).withColumn("good", F.lit(good))
-    return some(one.where("g"), 1).union(some(one.where("b and not coalesce(g, false)"), 0))
+    return one.where("g or b").select("doc_id", F.coalesce("g", F.lit(False)).cast("int").alias("good"))
+
+
+def trusted(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``docs(_n, _id, ...)`` that ``known(_id, good)`` names as good.
+
+    ``_n`` counts on within a partition. So good rows are bits, and what is sent around is a bit a row of ``docs``, not an id a label, nor the texts."""
+    good = docs.select("_n", "_id").join(known.where("good = 1").select("_id").hint("merge"), "_id", "left_semi")
+    bits = good.groupBy(F.floor(F.col("_n") / BITMAP_ROWS).alias("_block")).agg(F.bitmap_construct_agg(F.pmod("_n", F.lit(BITMAP_ROWS))).alias("_bits"))
+    bits = common.materialize(bits, "trusted")
+    at = F.pmod("_n", F.lit(BITMAP_ROWS))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")), F.lit(2))
+    return docs.withColumn("_block", F.floor(F.col("_n") / BITMAP_ROWS)).join(F.broadcast(bits), "_block").where(bit == 1).drop("_block", "_bits")
 
 
 def weights(docs: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
-    """``docs(_id, _fold, _h)`` and ``known(_id, good)`` → one row: ``w``, the log ratios by bucket and fold, those of a fold being without its own texts."""
+    """``docs(_n, _id, _fold, _h)`` and ``known(_id, good)`` → one row: ``w``, the log ratios by bucket and fold, those of a fold being without its own texts."""
     each = lambda d: d.select("_fold", F.explode(grams(F.col("_h"), buckets)).alias("b")).select((F.col("b") * FOLDS + F.col("_fold")).alias("cell"))
     cell = lambda d, n: each(d).groupBy("cell").agg(F.count("*").alias(n))
-    good = docs.join(F.broadcast(known.where("good = 1")), "_id", "left_semi")
+    good = trusted(docs, known)
     table = cell(docs, "r").join(cell(good, "g"), "cell", "left")
     table = common.materialize(table.select(F.floor(F.col("cell") / FOLDS).cast("int").alias("b"), (F.col("cell") % FOLDS).alias("fold"), "r", F.coalesce("g", F.lit(0)).alias("g")), "ngrams")
     n = {(r.fold, x): r[x] for r in table.groupBy("fold").agg(F.sum("r").alias("r"), F.sum("g").alias("g")).collect() for x in "rg"}
@@ -149,7 +161,7 @@ def judge(docs: DataFrame, labels: DataFrame, *carry: str) -> tuple[DataFrame, D
     scores = each.groupBy("_n").agg(F.avg("w").alias("score"))
     out = d.select("_n", F.col("_id").alias("doc_id"), *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").join(scores, "_n", "left")
     out = common.materialize(out.withColumn("score", F.coalesce("score", F.lit(0.0))), "scored")
-    cut = threshold(out.where("not base_failed").join(F.broadcast(known.withColumnRenamed("_id", "doc_id")), "doc_id").select("good", "score"))
+    cut = threshold(out.where("not base_failed").select("doc_id", "score").join(known.withColumnRenamed("_id", "doc_id").hint("merge"), "doc_id").select("good", "score"))
     return d, out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cut))
 
 

@@ -655,3 +655,13 @@ def test_simhash_broadcasts_no_table_that_grows(spark, monkeypatch):
     assert {"buckets", "components"} <= {n for n, _ in plans}
     assert [n for n, p in plans if "BroadcastHashJoin" in p and n in ("buckets", "edges", "result")] == []
     assert [r.component_id for r in out.orderBy("doc_id").collect()][:2] == [0, 0]
+
+
+def test_every_label_counts(spark):
+    """More than 20,000 labels of a side, spread over partitions: none is left out of the trusted counts, whatever the ids are."""
+    n = 50_000
+    docs = spark.range(0, n, 1, 5).select(F.concat(F.lit("d"), "id").alias("_id"), F.col("id").alias("k"), F.monotonically_increasing_id().alias("_n"))
+    labels = spark.range(n).select(F.concat(F.lit("d"), "id").alias("doc_id"), F.when(F.col("id") % 7 == 0, 0).otherwise(1).alias("quality"), F.when(F.col("id") % 11 == 0, 1).otherwise(0).alias("toxic"))
+    known = o2.labelled(labels).withColumnRenamed("doc_id", "_id")
+    assert {r.good: r["count"] for r in known.groupBy("good").count().collect()} == {1: sum(1 for i in range(n) if i % 7 and i % 11), 0: sum(1 for i in range(n) if i % 7 == 0)}
+    assert {r.k for r in o2.trusted(common.materialize(docs, "numbered"), known).collect()} == {i for i in range(n) if i % 7 and i % 11}
