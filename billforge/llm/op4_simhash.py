@@ -10,9 +10,10 @@ share a fingerprint, and only distinct fingerprints are compared; an empty table
 besides ``doc_id`` and ``text`` are not read; a null ``doc_id`` keeps its row and never names a component
 unless no other id is there.
 
-The pipeline's stage is wider than the query: near copies there are texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8, which lie up to 11 bits apart, too far for balls. They meet in bands of minimum hashes and are verified
-exactly; a pair at the similarity shares a band with probability 1 - (1 - 0.8**3)**12 = 0.9998.
+The pipeline's stage finds candidates by the same fingerprints and components, and is wider than the query: near copies there are texts
+whose sets of five-word shingles have a Jaccard similarity of 0.8, which may lie up to 11 bits apart, too far for balls. So texts also meet
+in bands of minimum hashes; a pair at the similarity shares a band with probability 1 - (1 - 0.8**3)**12 = 0.9998. Candidates of
+both kinds are verified exactly.
 """
 
 from __future__ import annotations
@@ -117,10 +118,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """``docs(_key, text)`` → ``(_key, component)``: texts linked by the stage's similarity; equal words are one text, no words another."""
+    """``docs(_key, text)`` → ``(_key, component)``: texts linked by the stage's similarity; equal words are one text, no words another.
+
+    Texts of one component of ``simhash_dedup`` are a bucket more, beside the bands."""
     flat = docs.select(F.col("_key").alias("key"), F.lit(0).alias("doc_id"), F.translate(F.coalesce("text", F.lit("")), "\n", " ").cast("binary").alias("text"))
     found = common.materialize(op8_paragraphs.paragraph_units(flat, STAGE_WORDS, STAGE_ROWS, STAGE_BANDS, least=1), "texts")
-    first, comps = op8_paragraphs.similar_paragraphs(flat, found, STAGE_WORDS, STAGE_SIMILARITY)
+    prints = simhash_dedup(docs.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.xxhash64(F.lit("simhash"), "component_id").alias("bucket"))
+    close = common.materialize(found.select("key", "id").join(prints.hint("merge"), "key").select("id", "bucket").distinct(), "close")
+    first, comps = op8_paragraphs.similar_paragraphs(flat, found, STAGE_WORDS, STAGE_SIMILARITY, close)
     named = first.join(comps.withColumnRenamed("id", "nid"), "nid", "left").select("id", F.coalesce("component", "nid").alias("component"))
     named = found.select(F.col("key").alias("_key"), "id").distinct().join(named, "id").select("_key", "component")
     return docs.select("_key").distinct().join(named, "_key", "left").select("_key", F.coalesce("component", F.lit(-1)).alias("component"))

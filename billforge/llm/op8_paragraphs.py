@@ -94,13 +94,15 @@ def paragraph_units(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, band
     return docs.select("key", "doc_id", "text").mapInPandas(lambda it: _unit_rows(it, rows, bands, size, least or size, passage), schema)
 
 
-def similar_paragraphs(docs: DataFrame, found: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def similar_paragraphs(docs: DataFrame, found: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, close: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``found`` as of ``paragraph_units`` → distinct paragraphs ``(nid, id, lo, hi)``, ``lo`` and ``hi`` being the least and greatest
-    ``(doc_id, key, at)``, and ``(id, component)`` of linked ``nid``s."""
+    ``(doc_id, key, at)``, and ``(id, component)`` of linked ``nid``s. ``close(id, bucket)`` are buckets beside those of the bands."""
     where = F.struct("doc_id", "key", "at")
     first = found.groupBy("id").agg(F.min(where).alias("lo"), F.max(where).alias("hi"), F.first("bands").alias("bands"))
     first = common.materialize(first.withColumn("nid", F.monotonically_increasing_id()), "distinct")
     members = first.select(F.col("nid").alias("id"), F.posexplode("bands").alias("band", "v")).select(F.xxhash64("band", "v").alias("bucket"), "id")
+    if close is not None:
+        members = members.union(first.select("nid", "id").join(close.hint("merge"), "id").select("bucket", F.col("nid").alias("id")))
     sets: DataFrame | None = None
 
     def prepare(live: DataFrame):

@@ -665,3 +665,20 @@ def test_every_label_counts(spark):
     known = o2.labelled(labels).withColumnRenamed("doc_id", "_id")
     assert {r.good: r["count"] for r in known.groupBy("good").count().collect()} == {1: sum(1 for i in range(n) if i % 7 and i % 11), 0: sum(1 for i in range(n) if i % 7 == 0)}
     assert {r.k for r in o2.trusted(common.materialize(docs, "numbered"), known).collect()} == {i for i in range(n) if i % 7 and i % 11}
+
+
+def test_simhash_stage_meets_by_fingerprints(spark, monkeypatch):
+    """With a band that near copies hardly share, those within three bits still meet by their fingerprints; farther texts are left to the bands."""
+    monkeypatch.setattr(o4, "STAGE_ROWS", 200)
+    monkeypatch.setattr(o4, "STAGE_BANDS", 1)
+    rng, texts = random.Random(11), []
+    for i in range(40):
+        w = [f"p{i}x{rng.randrange(900)}" for _ in range(300)]
+        v = list(w)
+        v[rng.randrange(300)] = "changed"
+        texts += [" ".join(w), " ".join(v)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fp = {r.doc_id: r.fp & ((1 << 64) - 1) for r in o4.fingerprints(docs).collect()}
+    near = {i for i in range(0, 80, 2) if (fp[i] ^ fp[i + 1]).bit_count() <= 3}
+    kept = {r.doc_id for r in o4.stage(spark, docs, "").collect()}
+    assert len(near) > 10 and set(range(0, 80, 2)) <= kept and not {i + 1 for i in near} & kept
