@@ -605,6 +605,36 @@ def test_recall_by_word_length(spark, n, length, edits):
     assert sum(got[2 * i + 1] == [0] for i in range(60)) >= 54 and all(got[2 * i] == [] for i in range(60))
 
 
+def test_lines_with_changed_letters_meet(spark):
+    """Pairs of long and of short lines at the similarity, single letters changed apart from each other, or the ends changed."""
+    rng = random.Random(29)
+    cut = lambda t: {t[i : i + 5] for i in range(max(1, len(t) - 4))}
+    alike = lambda a, b: len(cut(a) & cut(b)) >= 0.8 * len(cut(a) | cut(b))
+    pairs, apart = [], []
+    for n, length, edits in [(60, 5, 7), (30, 4, 3), (24, 7, 4), (26, 6, 4), (40, 3, 3), (12, 7, 2), (30, 12, 8)]:
+        found = []
+        while len(found) < 60:
+            a = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=length)) for _ in range(n))
+            b = list(a)
+            for k in range(edits):
+                i = len(a) * (2 * k + 1) // (2 * edits) + rng.randint(-3, 3)
+                b[i] = rng.choice("0123456789")
+            found += [(a, "".join(b))] if alike(a, "".join(b)) else []
+        pairs += found
+    while len(apart) < 300:
+        a = "".join(rng.choices("ab c", k=rng.randint(1, 45))).strip() or "a"
+        b = rng.choice([a[: len(a) - 1], a[1:], a + "b", a + "cc", "b" + a, a * 3]).strip()
+        apart += [(a, b)] if a != b and b and max(len(cut(a)), len(cut(b))) < 24 and alike(a, b) else []
+    lines = signed_lines(spark, [x for p in pairs + apart for x in p])
+    met = [bool(lines[a] & lines[b]) for a, b in pairs + apart]
+    assert sum(met[: len(pairs)]) >= len(pairs) - 2 and all(met[len(pairs) :])
+
+
+def signed_lines(spark, lines):
+    d = spark.createDataFrame([(x,) for x in set(lines)], "line string").withColumn("text", F.col("line"))
+    return {r.text: set(r.bands) for r in o5.signatures(d).collect()}
+
+
 def test_texts_shorter_than_the_item(spark):
     """The first 60 to 100 % of an item's words, alone: its only window is the text."""
     rng = random.Random(12)
