@@ -93,7 +93,7 @@ def near_components(distinct: DataFrame, radius: int = RADIUS, groups: int = 2)
         rest = F.col("fp").bitwiseAND(F.lit(signed[0]))
         variants += [rest.bitwiseXOR(F.lit(x)) for x in signed[1:]]
     members = distinct.select(F.col("fp").alias("id"), F.explode(F.array(*variants)).alias("bucket"))
-    return common.link_buckets(members, lambda _: lambda pairs: pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
+    return common.link_buckets(members, lambda _: lambda pairs: pairs, near=lambda u, v: F.bit_count(u.bitwiseXOR(v)) <= radius)
 
 
 def simhash_dedup(docs: DataFrame, size: int = SHINGLE_WORDS, radius: int = RADIUS, groups: int | None = None) -> DataFrame:

@@ -712,3 +712,28 @@ def test_simhash_stage_meets_by_fingerprints(spark, monkeypatch):
     near = {i for i in range(0, 80, 2) if (fp[i] ^ fp[i + 1]).bit_count() <= 3}
     kept = {r.doc_id for r in o4.stage(spark, docs, "").collect()}
     assert len(near) > 10 and set(range(0, 80, 2)) <= kept and not {i + 1 for i in near} & kept
+
+
+def test_dense_fingerprints_make_links_only(spark, monkeypatch):
+    """In a large group of near fingerprints no pair beyond the radius is made, and the components are those of all pairs."""
+    rng = random.Random(31)
+    fps = {(sum(1 << b for b in rng.sample(range(32, 64), rng.randint(0, 5))) | 0x5A5A5A5A) for _ in range(250)}
+    signed = {x - (1 << 64) if x >> 63 else x: x for x in fps}
+    written, real = [], common.materialize
+
+    def kept(df, label):
+        out = real(df, label)
+        written.extend((signed[r.u], signed[r.v]) for r in out.select("u", "v").collect()) if label == "pairs" else None
+        return out
+
+    monkeypatch.setattr(common, "materialize", kept)
+    got = {signed[r.id]: signed[r.component] for r in o4.near_components(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    assert written and all((u ^ v).bit_count() <= 3 for u, v in written)
+    comp = {x: x for x in fps}
+    for u in fps:
+        for v in fps:
+            if (u ^ v).bit_count() <= 3 and comp[u] != comp[v]:
+                a, b = comp[u], comp[v]
+                comp = {x: a if c == b else c for x, c in comp.items()}
+    linked = {x for x in fps if sum(c == comp[x] for c in comp.values()) > 1}
+    assert set(got) == linked and all((got[x] == got[y]) == (comp[x] == comp[y]) for x in linked for y in linked)
