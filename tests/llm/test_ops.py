@@ -737,3 +737,30 @@ def test_dense_fingerprints_make_links_only(spark, monkeypatch):
                 comp = {x: a if c == b else c for x, c in comp.items()}
     linked = {x for x in fps if sum(c == comp[x] for c in comp.values()) > 1}
     assert set(got) == linked and all((got[x] == got[y]) == (comp[x] == comp[y]) for x in linked for y in linked)
+
+
+def test_a_round_renames_members_once(spark, monkeypatch):
+    """No table of a round joins the members with their new components twice; a dense group keeps the components of all pairs."""
+    rng = random.Random(37)
+    fps = {sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(150)}
+    signed = {x - (1 << 64) if x >> 63 else x: x for x in fps}
+    renamed, real = [], common.materialize
+
+    def noted(df, label):
+        renamed.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter"))
+        return real(df, label)
+
+    monkeypatch.setattr(common, "materialize", noted)
+    got = {signed[r.id]: r.component for r in o4.near_components(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    members = spark.createDataFrame([(b, i) for b in range(40) for i in range(100)], "bucket long, id long")
+    linked = common.link_buckets(members, lambda _: lambda pairs: pairs, near=lambda u, v: u % 5 == v % 5)
+    assert sorted(map(tuple, linked.collect())) == [(i, i % 5) for i in range(100)]
+    assert max(renamed) == 1
+    comp = {x: x for x in fps}
+    for u in fps:
+        for v in fps:
+            if (u ^ v).bit_count() <= 3 and comp[u] != comp[v]:
+                a, b = comp[u], comp[v]
+                comp = {x: a if c == b else c for x, c in comp.items()}
+    linked = {x for x in fps if sum(c == comp[x] for c in comp.values()) > 1}
+    assert set(got) == linked and all((got[x] == got[y]) == (comp[x] == comp[y]) for x in linked for y in linked)
