@@ -764,3 +764,24 @@ def test_a_round_renames_members_once(spark, monkeypatch):
                 comp = {x: a if c == b else c for x, c in comp.items()}
     linked = {x for x in fps if sum(c == comp[x] for c in comp.values()) > 1}
     assert set(got) == linked and all((got[x] == got[y]) == (comp[x] == comp[y]) for x in linked for y in linked)
+
+
+def test_long_lines_rarely_meet_by_chance(spark):
+    """Unlike lines of one small vocabulary share hardly a band; near copies do, also where words without a space for long are broken up."""
+    rng = random.Random(41)
+    say = lambda n: " ".join("".join(rng.choices(["the", "on", "er", "in", "an", "re", "nd", "at", "es", "tion"], k=rng.randint(1, 3))) for _ in range(n))
+    lines = [say(60) for _ in range(1500)]
+    bands = signed_lines(spark, lines)
+    often = collections.Counter(b for x in bands.values() for b in x)
+    assert sum(any(often[b] > 1 for b in x) for x in bands.values()) < 0.2 * len(lines)
+    cut = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
+    pairs = []
+    while len(pairs) < 100:
+        url = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz/0123456789", k=rng.randint(30, 500)))
+        a = f"{say(rng.randint(3, 40))} {url} {say(rng.randint(3, 40))}"
+        b, gap = list(a), rng.randint(24, 60)
+        for i in range(a.index(url) + gap // 2, a.index(url) + len(url), gap):
+            b[i] = rng.choice(" %")
+        pairs += [(a, "".join(b))] if 5 * len(cut(a) & cut("".join(b))) >= 4 * len(cut(a) | cut("".join(b))) else []
+    bands = signed_lines(spark, [x for p in pairs for x in p])
+    assert sum(bool(bands[a] & bands[b]) for a, b in pairs) >= 98
