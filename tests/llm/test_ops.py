@@ -714,6 +714,14 @@ def test_simhash_stage_meets_by_fingerprints(spark, monkeypatch):
     assert len(near) > 10 and set(range(0, 80, 2)) <= kept and not {i + 1 for i in near} & kept
 
 
+def test_near_fingerprints_meet_on_rests_that_are_there(spark, monkeypatch):
+    """64 fingerprints of one half: they meet once there and with their neighbours in the other, not on all 33 variants of what they share."""
+    fps, seen, real = [0x5A5A5A5A << 32 | k << 3 for k in range(64)], [], common.link_buckets
+    monkeypatch.setattr(common, "link_buckets", lambda members, *a, **b: (seen.append(members.count()), real(members, *a, **b))[1])
+    got = {r.id: r.component for r in o4.near_components(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()}
+    assert seen == [64 + 64 * 7] and got == dict.fromkeys(fps, fps[0])
+
+
 def test_dense_fingerprints_make_links_only(spark, monkeypatch):
     """In a large group of near fingerprints no pair beyond the radius is made, and the components are those of all pairs."""
     rng = random.Random(31)
