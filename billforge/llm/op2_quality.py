@@ -96,8 +96,8 @@ def labelled(labels: DataFrame) -> DataFrame:
     return one.where("g or b").select("doc_id", F.coalesce("g", F.lit(False)).cast("int").alias("good"))
 
 
-def trusted(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows of ``docs(_n, _id, ...)`` that ``known(_id, good)`` names as good.
+def marked(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs(_n, _id, ...)`` with ``_good``, 1 for the rows that ``known(_id, good)`` names as good, else 0.
 
     ``_n`` counts on within a partition. So good rows are bits, and what is sent around is a bit a row of ``docs``, not an id a label, nor the texts."""
     good = docs.select("_n", "_id").join(known.where("good = 1").select("_id").hint("merge"), "_id", "left_semi")
@@ -106,16 +106,20 @@ def trusted(docs: DataFrame, known: DataFrame) -> DataFrame:
     at = F.pmod("_n", F.lit(BITMAP_ROWS))
     byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.pmod(F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")), F.lit(2))
-    return docs.withColumn("_block", F.floor(F.col("_n") / BITMAP_ROWS)).join(F.broadcast(bits), "_block").where(bit == 1).drop("_block", "_bits")
+    return docs.withColumn("_block", F.floor(F.col("_n") / BITMAP_ROWS)).join(F.broadcast(bits), "_block", "left").withColumn("_good", F.coalesce(bit, F.lit(0))).drop("_block", "_bits")
+
+
+def trusted(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``docs(_n, _id, ...)`` that ``known(_id, good)`` names as good."""
+    return marked(docs, known).where("_good = 1").drop("_good")
 
 
 def weights(docs: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
     """``docs(_n, _id, _fold, _h)`` and ``known(_id, good)`` → one row: ``w``, the log ratios by bucket and fold, those of a fold being without its own texts."""
-    each = lambda d: d.select("_fold", F.explode(grams(F.col("_h"), buckets)).alias("b")).select((F.col("b") * FOLDS + F.col("_fold")).alias("cell"))
-    cell = lambda d, n: each(d).groupBy("cell").agg(F.count("*").alias(n))
-    good = trusted(docs, known)
-    table = cell(docs, "r").join(cell(good, "g"), "cell", "left")
-    table = common.materialize(table.select(F.floor(F.col("cell") / FOLDS).cast("int").alias("b"), (F.col("cell") % FOLDS).alias("fold"), "r", F.coalesce("g", F.lit(0)).alias("g")), "ngrams")
+    # raw and trusted counts are taken in one pass over the n-grams
+    each = marked(docs, known).select("_fold", "_good", F.explode(grams(F.col("_h"), buckets)).alias("b")).select((F.col("b") * FOLDS + F.col("_fold")).alias("cell"), "_good")
+    table = each.groupBy("cell").agg(F.count("*").alias("r"), F.sum("_good").alias("g"))
+    table = common.materialize(table.select(F.floor(F.col("cell") / FOLDS).cast("int").alias("b"), (F.col("cell") % FOLDS).alias("fold"), "r", "g"), "ngrams")
     n = {(r.fold, x): r[x] for r in table.groupBy("fold").agg(F.sum("r").alias("r"), F.sum("g").alias("g")).collect() for x in "rg"}
     mine = lambda x, k: F.sum(F.when(F.col("fold") != k, F.col(x)).otherwise(0)).alias(f"{x}{k}")
     rest = table.groupBy("b").agg(*[mine(x, k) for x in "rg" for k in range(FOLDS)])

@@ -697,6 +697,26 @@ def test_every_label_counts(spark):
     assert {r.k for r in o2.trusted(common.materialize(docs, "numbered"), known).collect()} == {i for i in range(n) if i % 7 and i % 11}
 
 
+def test_raw_and_trusted_counts_take_one_pass(spark, monkeypatch):
+    """The n-grams of the texts are made once for both counts, and these are those of a loop over the texts."""
+    texts = [[(i * 7 + j * j) % 90 for j in range(30)] for i in range(60)]
+    docs = spark.createDataFrame([(f"d{i}", i % 4, x) for i, x in enumerate(texts)], "_id string, _fold int, _h array<int>").coalesce(1).withColumn("_n", F.monotonically_increasing_id())
+    known = spark.createDataFrame([(f"d{i}", int(i % 3 > 0)) for i in range(0, 60, 2)], "_id string, good int")
+    made, write = {}, common.materialize
+
+    def noted(df, label):
+        out = write(df, label)
+        made[label] = df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode"), out
+        return out
+
+    monkeypatch.setattr(common, "materialize", noted)
+    o2.weights(docs, known, 1 << 14)
+    n, table = made["ngrams"]
+    grams = {r._id: r.g for r in docs.select("_id", o2.grams(F.col("_h"), 1 << 14).alias("g")).collect()}
+    want = collections.Counter((b, i % 4, x) for i in range(60) for b in grams[f"d{i}"] for x in ("r", "g")[: 1 + (i % 2 == 0 and i % 3 > 0)])
+    assert n == 1 and {(r.b, r.fold): (r.r, r.g) for r in table.collect()} == {(b, k): (c, want[b, k, "g"]) for (b, k, x), c in want.items() if x == "r"}
+
+
 def test_simhash_stage_meets_by_fingerprints(spark, monkeypatch):
     """With a band that near copies hardly share, those within three bits still meet by their fingerprints; farther texts are left to the bands."""
     monkeypatch.setattr(o4, "STAGE_ROWS", 200)
