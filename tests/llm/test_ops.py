@@ -717,6 +717,18 @@ def test_raw_and_trusted_counts_take_one_pass(spark, monkeypatch):
     assert n == 1 and {(r.b, r.fold): (r.r, r.g) for r in table.collect()} == {(b, k): (c, want[b, k, "g"]) for (b, k, x), c in want.items() if x == "r"}
 
 
+def test_sets_are_not_read_without_large_buckets(spark):
+    """Many unlike members in buckets of up to ``few``: they are compared by sketches alone, and nobody asks for their sets."""
+    members = spark.range(400).select(F.lit(7).cast("long").alias("bucket"), "id")
+    sketch = common.materialize(spark.range(400).select("id", F.lit(100).cast("long").alias("size"), F.array(*[F.xxhash64("id", F.lit(k)) for k in range(4)]).alias("p")), "sketches")
+
+    def sets(ids):
+        raise AssertionError("sets were asked for")
+
+    out = common.link_buckets(members, lambda _: (sets, lambda pairs: pairs.where("u = 3 and v = 5"), sketch), similarity=0.8, few=500)
+    assert out.where("id <> component").count() <= 1
+
+
 def test_simhash_stage_meets_by_fingerprints(spark, monkeypatch):
     """With a band that near copies hardly share, those within three bits still meet by their fingerprints; farther texts are left to the bands."""
     monkeypatch.setattr(o4, "STAGE_ROWS", 200)
