@@ -825,3 +825,29 @@ def test_long_lines_rarely_meet_by_chance(spark):
         pairs += [(a, "".join(b))] if 5 * len(cut(a) & cut("".join(b))) >= 4 * len(cut(a) | cut("".join(b))) else []
     bands = signed_lines(spark, [x for p in pairs for x in p])
     assert sum(bool(bands[a] & bands[b]) for a, b in pairs) >= 98
+
+
+def test_buckets_and_prefixes_come_in_slices(spark, monkeypatch):
+    """A slice of the buckets, of the lines and of the sets is moved at a time; what comes out is the same."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    made = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(4, 20))) for _ in range(60)]
+    made += [x + " " + rng.choice(vocabulary)[:2] for x in made[:30]]
+    docs = spark.createDataFrame([(k, "\n".join(made[k::15])) for k in range(15)], "doc_id bigint, text string")
+    want = sorted(map(str, o5.dedup_lines(docs).collect()))
+    real, seen = common.materialize, collections.Counter()
+    monkeypatch.setattr(common, "materialize", lambda df, label, *to: (seen.update([label]), real(df, label, *to))[1])
+    monkeypatch.setattr(o5, "BANDS_AT_ONCE", 100)
+    assert sorted(map(str, o5.dedup_lines(docs).collect())) == want and any("removed=[" in x and "removed=[]" not in x for x in want)
+    assert seen["buckets"] >= 8 and seen["units"] >= 2
+    sets = spark.createDataFrame([(k, [hash(w) for w in set(x.split())]) for k, x in enumerate(made)], "id bigint, set array<bigint>")
+    ids = sets.select("id", F.col("id").alias("comp"))
+    pairs = [{tuple(r) for r in common.prefix_pairs(ids, sets, 0.8, n).collect()} for n in (1, 5)]
+    assert pairs[0] == pairs[1] and pairs[0]
+
+
+def test_sizes_that_reach_the_similarity_are_of_adjoining_classes(spark):
+    for similarity in (0.8, 0.5, 0.9):
+        sizes = [r.c for r in spark.range(1, 4001, 1, 1).withColumn("size", F.col("id")).orderBy("id").select(common.size_class("size", similarity).alias("c")).collect()]
+        assert all(0 <= sizes[k - 1] - sizes[m - 1] <= 1 for k in range(1, 4001) for m in [-int(-(similarity * k - 1e-9) // 1)])
+    assert sizes[-1] > 50
