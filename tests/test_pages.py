@@ -157,3 +157,19 @@ def test_pages_of_one_small_file_go_to_many_tasks(spark, tmp_path):
     assert out.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism and out.count() == 100
     plan = catalog.page_rows(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan
+
+
+def test_page_text_is_folded_once(spark):
+    """All fields of a page read one column of its text without accents, in the plan that runs."""
+    import re
+
+    d = spark.range(3).select(F.concat("id", F.lit(".pdf")).alias("file"), F.lit(1).alias("page_no"), F.concat(F.lit("Số: 0000"), "id", F.lit("1234")).alias("text"), F.lit("text").alias("doc_kind"))
+    plan = page_fields.extract_rows(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"translate\((?:coalesce\()*text#", plan)) == 1
+
+
+def test_zeros_and_labels_at_the_end(spark):
+    rows = [("0000", "0000"), ("0012", "12"), ("", ""), ("500", "500"), (None, None)]
+    assert [r.v for r in spark.createDataFrame(rows, "x string, want string").select(page_fields.unzeroed(F.col("x")).alias("v")).collect()] == [w for _, w in rows]
+    taxes = [("Mã số thuế: 0123456789 Người mua hàng", None), ("Mã số thuế: 0123456789", "0123456789"), ("Mã số thuế: 0123456789 Người mua hàng x thuế 0123456788", "0123456788"), ("", None)]
+    assert [r.v for r in spark.createDataFrame(taxes, "x string, want string").select(page_fields.buyer_tax_id(F.col("x")).alias("v")).collect()] == [w for _, w in taxes]
